@@ -41,9 +41,11 @@ ENTITIES = re.compile(
     r"|(?P<IP>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w.]*\d))"
     r"|(?P<PHONE>(?<![\w.])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)|(?<![\w.+])\+\d(?:[ .-]?\d){8,13}(?!\w))"
     r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<CARD>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
+    r"|(?P<CARD>(?<![\w.])(?:\d{4}(?P<sep>[ -])\d{4}(?:(?P=sep)\d{4}){2}|\d{13,19})(?!\w))"
 )
 
+KINDS = ("EMAIL", "SECRET", "IP", "PHONE", "SSN", "CARD")
+
 
 def _candidates(b: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Texts that can hold an entity at all: an at sign, seven digits, an assignment, or a long mixed token."""
@@ -63,7 +65,7 @@ def _entity_key(kind: str, found: str) -> int:
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order."""
-    return [(m.start(), m.end(), m.lastgroup or "") for m in ENTITIES.finditer(text)]
+    return [(m.start(), m.end(), next(k for k in KINDS if m[k] is not None)) for m in ENTITIES.finditer(text)]
 
 
 def _classes(w: Words) -> np.ndarray:
