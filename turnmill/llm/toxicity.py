@@ -26,8 +26,8 @@ from ._spark import col
 from ._text import Words, chunks, mix64
 
 #: The most labelled documents the field is fitted on: toxic and clean ones, drawn by a hash of their ids.
-TRAIN_TOXIC, TRAIN_CLEAN = 3000, 9000
-SENTENCE, SLOTS, EPOCHS, RATE, DECAY = 256, 1 << 18, 8, 0.3, 1e-5
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 4500
+SENTENCE, SLOTS, EPOCHS, RATE, DECAY, DAMP = 256, 1 << 18, 8, 0.5, 1e-5, 0.1
 #: Tokens at or above this marginal are offending.
 THRESHOLD = 0.5
 _TEMPLATES = 6
@@ -67,7 +67,7 @@ def tokens(b: np.ndarray, off: np.ndarray) -> Chain:
         v = np.minimum(size, k).astype(np.uint64) << np.uint64(56)
         for i in range(k):
             v |= np.where(i < size, pad[start + i], 0).astype(np.uint64) << np.uint64(8 * i)
-        return mix64(v + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+        return mix64(v ^ np.uint64((k * 0xD6E8FEB86659FD93) & (2**64 - 1)))
 
     zero = np.zeros(1, np.uint64)
     before = np.where(new, np.uint64(3), np.concatenate((zero, w.hash[:-1])))
@@ -135,30 +135,39 @@ def pair_marginals(e: np.ndarray, fwd: np.ndarray, bwd: np.ndarray, first: np.nd
     return (p / p.sum(axis=(0, 1))).sum(axis=2)
 
 
-def fit(chains: list[tuple[Chain, np.ndarray]], epochs: int = EPOCHS) -> Field:
-    """Maximum likelihood by AdaGrad over batches of (chain, 0/1 token labels)."""
-    weight, grown = np.zeros((_TEMPLATES, SLOTS)), np.full((_TEMPLATES, SLOTS), 1e-3)
+@dataclass
+class Labelled:
+    """What fitting needs of a chunk: slots, sequence starts and 0/1 token labels."""
+
+    slots: np.ndarray
+    first: np.ndarray
+    y: np.ndarray
+
+
+def fit(chains: list[Labelled], epochs: int = EPOCHS) -> Field:
+    """Maximum likelihood by AdaGrad, a chunk a step; DAMP keeps features seen a few times from large weights."""
+    weight, grown = np.zeros((_TEMPLATES, SLOTS)), np.full((_TEMPLATES, SLOTS), DAMP)
     field = Field(weight, -2.0, np.zeros((2, 2)))
-    grown_bias, grown_move = 1e-3, np.full((2, 2), 1e-3)
+    grown_bias, grown_move = DAMP, np.full((2, 2), DAMP)
     for _ in range(epochs):
-        for chain, y in chains:
-            n = len(y)
+        for c in chains:
+            n = len(c.y)
             if not n:
                 continue
-            e = field.emission(chain.slots)
-            fwd, bwd = messages(e, chain.first, field.move)
-            gap = y - 1 / (1 + np.exp(-np.clip(fwd + bwd, -40, 40)))
+            e = field.emission(c.slots)
+            fwd, bwd = messages(e, c.first, field.move)
+            gap = c.y - 1 / (1 + np.exp(-np.clip(fwd + bwd, -40, 40)))
             for t in range(_TEMPLATES):
-                g = np.bincount(chain.slots[t], gap, SLOTS)
+                g = np.bincount(c.slots[t], gap, SLOTS)
                 some = np.flatnonzero(g)
                 g = g[some] / 32 - DECAY * weight[t][some]
                 grown[t][some] += g * g
                 weight[t][some] += RATE * g / np.sqrt(grown[t][some])
             inner = np.ones(n, bool)
-            inner[chain.first] = False
+            inner[c.first] = False
             k = np.flatnonzero(inner)
-            seen = np.bincount(2 * y[k - 1].astype(np.int64) + y[k].astype(np.int64), minlength=4).reshape(2, 2)
-            g = (seen - pair_marginals(e, fwd, bwd, chain.first, field.move)) / 32
+            seen = np.bincount(2 * c.y[k - 1].astype(np.int64) + c.y[k].astype(np.int64), minlength=4).reshape(2, 2)
+            g = (seen - pair_marginals(e, fwd, bwd, c.first, field.move)) / 32
             grown_move += g * g
             field.move += RATE * g / np.sqrt(grown_move)
             g = gap.sum() / 32
@@ -167,27 +176,66 @@ def fit(chains: list[tuple[Chain, np.ndarray]], epochs: int = EPOCHS) -> Field:
     return Field(weight.astype(np.float32), field.bias, field.move)
 
 
-def label_tokens(texts: pa.Array, toxic: np.ndarray) -> list[tuple[Chain, np.ndarray]]:
-    """Chains of labelled texts with derived token labels; clean texts have only zeros."""
-    parts = [(i, tokens(b, off)) for i, b, off in chunks(texts)]
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where the rows of sorted columns change."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def marked_features(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Hashes of words and prefixes that toxic documents hold far beyond chance.
+
+    A toxic document counts for a feature only by an occurrence whose word before
+    and whose word after are both new to the feature, so that copies of one
+    document don't pass for many.
+    """
     tox, clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    seen = []
-    for i, c in parts:
-        for kind in range(3):
-            pair = np.unique(np.stack((c.marks[kind], c.words.doc.astype(np.uint64)), axis=1), axis=0)
-            seen.append((pair[:, 0], toxic[i + pair[:, 1].astype(np.int64)]))
-    keys = np.concatenate([k for k, _ in seen]) if seen else np.zeros(0, np.uint64)
-    flag = np.concatenate([f for _, f in seen]) if seen else np.zeros(0, bool)
-    known, back = np.unique(keys, return_inverse=True)
-    in_tox, in_all = np.bincount(back, flag, len(known)), np.bincount(back, minlength=len(known))
-    in_clean = in_all - in_tox
-    # nats against chance of so many toxic documents, and a rate far above that among clean ones
-    chance = in_tox * np.log((tox + clean) / tox)
-    marked = known[(chance >= 12) & (in_tox >= 4) & ((in_tox + 0.5) / tox >= 30 * (in_clean + 0.5) / clean)]
-    out = []
-    for i, c in parts:
+    z = np.zeros(0, np.uint64)
+    keys, counts, rows = [z], [np.zeros(0)], [np.zeros((4, 0), np.uint64)]
+    for i, b, off in chunks(texts):
+        c = tokens(b, off)
+        h = c.words.hash
+        before, after = np.concatenate((h[-1:], h[:-1])), np.concatenate((h[1:], h[:1]))
+        bad = toxic[i + c.words.doc]
+        for mark in c.marks:
+            rows.append(np.stack((mark[bad], before[bad], after[bad], (i + c.words.doc[bad]).astype(np.uint64))))
+            m, d = mark[~bad], c.words.doc[~bad]
+            order = np.lexsort((d, m))
+            at = _runs(m[order], d[order])
+            m = m[order][at]
+            at = _runs(m)
+            keys.append(m[at])
+            counts.append(np.diff(np.append(at, len(m))).astype(float))
+    m, before, after, doc = np.concatenate(rows, axis=1)
+    fresh = np.ones(len(m), bool)
+    for other in (before, after):
+        order = np.lexsort((other, m))  # stable: the earliest document first
+        first = np.zeros(len(m), bool)
+        first[order[_runs(m[order], other[order])]] = True
+        fresh &= first
+    m, doc = m[fresh], doc[fresh]
+    order = np.lexsort((doc, m))
+    m = m[order][_runs(m[order], doc[order])]
+    at = _runs(m)
+    known, t = m[at], np.diff(np.append(at, len(m))).astype(float)
+    k = np.concatenate(keys)
+    at = np.searchsorted(known, k)
+    hit = known[np.minimum(at, max(len(known) - 1, 0))] == k if len(known) else np.zeros(len(k), bool)
+    n = np.bincount(at[hit], np.concatenate(counts)[hit], len(known))
+    # nats against chance, and a rate far above that among clean documents
+    return known[(t * np.log((tox + clean) / tox) >= 12) & (t >= 4) & ((t + 0.5) / tox >= 30 * (n + 0.5) / clean)]
+
+
+def label_tokens(texts: pa.Array, toxic: np.ndarray) -> list[Labelled]:
+    """Labelled chunks of texts: in toxic ones the tokens with a marked feature, in clean ones none."""
+    marked, out = marked_features(texts, toxic), []
+    for i, b, off in chunks(texts):
+        c = tokens(b, off)
         y = np.isin(c.marks, marked).any(axis=0) & toxic[i + c.words.doc]
-        out.append((c, y.astype(float)))
+        out.append(Labelled(c.slots, c.first.astype(np.int32), y))
     return out
 
 
@@ -207,8 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     toxic = got.column("toxic").to_numpy() > 0
     if toxic.all() or not toxic.any():
         return None
-    labelled = label_tokens(got.column("text").combine_chunks(), toxic)
-    return fit(labelled)
+    return fit(label_tokens(got.column("text").combine_chunks(), toxic))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
