@@ -1,0 +1,151 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from turnmill.functions import jsonschema as J
+from turnmill.functions.spans import labels_from_offsets, merge_spans, pad, pair, select_supervised, subtract_spans, truncate
+from turnmill.functions.text import completion_key, epoch_iso, first_text_block, safe_stem, split_thinking, strip_ws, unwrap_prompt_file
+from turnmill.operators import anonymize as A
+from turnmill.operators import messages as M
+from turnmill.operators import mixing_plan as X
+from turnmill.operators import render as R
+from turnmill.operators import tools as T
+from turnmill.plans.queries import ORACLES, QUERIES
+from turnmill.schema import TRAIN_ROW
+
+TABLES = ("conversations", "documents", "events", "lineitem")
+
+
+def canon(rows):
+    return sorted(tuple(repr(round(x, 6)) if isinstance(x, float) else str(x) for x in r) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, sf, con, name):
+    got = QUERIES[name](spark, sf)
+    cols = sorted(got.columns)
+    names = ", ".join(f'"{c}"' for c in cols)
+    assert canon(map(tuple, got.select(*cols).collect())) == canon(con.execute(f"SELECT {names} FROM ({ORACLES[name]})").fetchall())
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def spans(*pairs):
+    return F.array(*[pair(F.lit(a), F.lit(b)) for a, b in pairs]) if pairs else F.array().cast("array<struct<start:int,end:int>>")
+
+
+def test_span_algebra(spark):
+    r = one(
+        spark, merge_spans(spans((5, 9), (0, 2), (2, 4), (8, 12), (3, 3))).alias("m"), subtract_spans(spans((0, 10), (20, 30)), spans((3, 5), (8, 22), (29, 40))).alias("s"), merge_spans(spans()).alias("e"),
+        labels_from_offsets(F.array(*map(F.lit, (7, 8, 9, 10))), spans((0, 2), (2, 5), (5, 5), (4, 6)), spans((0, 5))).alias("l"),
+        truncate(F.array(*map(F.lit, (1, 2, 3))), 2, True).alias("t"), pad(F.array(F.lit(1)), 3).alias("p"),
+    )
+    assert [tuple(x) for x in r.m] == [(0, 4), (5, 12)] and r.e == []
+    assert [tuple(x) for x in r.s] == [(0, 3), (5, 8), (22, 29)]
+    assert r.l == [7, 8, -100, -100] and r.t == [2, 3] and r.p == [1, -100, -100]
+
+
+def test_policy_subtracts_disabled_regions(spark):
+    s = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(k).alias("kind"), F.lit("assistant").alias("role")) for a, b, k in ((0, 20, "final_answer"), (5, 8, "reasoning"), (30, 40, "odd"))])
+    assert [tuple(x) for x in one(spark, select_supervised(s, {"reasoning": False}).alias("s")).s] == [(0, 5), (8, 20), (30, 40)]
+
+
+def test_text_functions(spark):
+    t = lambda x: F.lit(x)
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.lit(" a").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("b").alias("text")), F.struct(F.lit("input_text").alias("type"), F.lit("c ").alias("text")))
+    r = one(
+        spark, strip_ws(t(" \x1c\n a b \t\n")).alias("strip"), split_thinking(t("<think> x </think>hi <thinking>y</thinking>there")).alias("think"), split_thinking(t(" plain")).alias("plain"),
+        epoch_iso(F.lit(1700000000)).alias("s"), epoch_iso(F.lit(1700000000123)).alias("ms"), epoch_iso(F.lit(1e300)).alias("bad"), safe_stem(t("a b//c..d--"), "x").alias("stem"), safe_stem(t("///"), "x").alias("fallback"),
+        unwrap_prompt_file(t('<file name="run-prompt.txt">\nhello\n</file>')).alias("file"), first_text_block(blocks).alias("blocks"), completion_key(t("  "), t("a\r\nb "), F.array(t("c"))).alias("key"),
+    )
+    assert r.strip == "a b" and tuple(r.think) == ("hi there", "x\n\ny") and tuple(r.plain) == (" plain", None)
+    assert (r.s, r.ms, r.bad) == ("2023-11-14T22:13:20Z", "2023-11-14T22:13:20.123000Z", None)
+    assert (r.stem, r.fallback, r.file, r.blocks, r.key) == ("a-b-c..d", "x", "hello", "a\nc", "a\nb --- follow-up --- c")
+
+
+def test_schema_inference_and_validation():
+    got = J.infer_parameters([{"a": 1, "b": [1, "x"]}, {"a": "s", "c": {"d": None}}])
+    assert got["required"] == ["a"] and got["properties"]["a"] == {"anyOf": [{"type": "integer"}, {"type": "string"}]}
+    assert J.merge_types({"type": "integer"}, {"type": "string"}) == {"type": ["integer", "string"]}
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "k": {"enum": ["x"]}}, "required": ["n"], "additionalProperties": False}
+    assert J.validate({"n": 1, "k": None}, schema) == [] and J.validate({"n": True}, schema)
+    assert len(J.validate({"k": "y", "z": 1}, schema)) == 3
+
+
+def test_mixing():
+    assert X.largest_remainder([0.7, 0.3], 3) == [2, 1]
+    assert X.rigid_counts([608, 1000], [0.8, 0.2], 1608) == [608, 152]
+    assert X.rigid_counts([2, 20], [0.7, 0.3], 22) == [2, 1]
+    assert X.resolve_weights([None, 0.5, None]) == [0.25, 0.5, 0.25] and X.percentage(1) == 1.0 and X.percentage(80) == 0.8
+    for bad in ([-1.0], [0.0], [1.0, None]):
+        with pytest.raises(ValueError):
+            X.resolve_weights(bad)
+
+
+def test_mix_and_short_bounds(spark):
+    a, b = spark.range(100).selectExpr("id AS row_key", "'a' AS s"), spark.range(100, 120).selectExpr("id AS row_key", "'b' AS s", "1 AS extra")
+    assert dict(X.mix([a, b], [0.8, 0.2]).groupBy("s").count().collect()) == {"a": 82, "b": 20}  # 103 would need 21 of b
+    assert X.mix([a, b]).count() == 120 and X.mix([a, b], max_examples=7).count() == 7
+    docs = spark.range(500).selectExpr("id AS doc_id", "IF(id < 480, 'big', null) AS source")
+    q = X.proportional_quotas(docs, 50)
+    got = X.sample_quotas(docs, q)
+    assert {r.source: r["count"] for r in got.groupBy("source").count().collect()} == {"big": 48, None: 2} and got.columns == docs.columns
+
+
+def test_anonymize(spark):
+    text = "Bob.Lee@corp.net and ann@corp.net, bob.lee@corp.net; keep me@example.com; /home/bob/x /Users/eve/y /home/bob; key sk-abcdefghijklmnop1234 and password=hunter2hunter2 at https://u:secretpw@h/"
+    df = spark.createDataFrame([(1, text), (2, "plain words"), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r for r in A.anonymize(df).collect()}
+    new = got[1].text
+    assert new.startswith("redacted-user1@example.com and redacted-user2@example.com, redacted-user1@example.com; keep me@example.com; /home/user1/x /Users/user2/y /home/user1;")
+    assert "sk-abc" not in new and "hunter2" not in new and "secretpw" not in new and new.count("REDACTED_") == 3
+    assert (got[2].text, got[2].changed, got[3].text) == ("plain words", False, None)
+
+
+def rows(spark, messages, tools):
+    return spark.createDataFrame([("f", 1, "x", "p", None, messages, tools, None, None)], TRAIN_ROW)
+
+
+def test_tool_calls(spark):
+    call = lambda n, a: ("assistant", None, None, [("1", "function", n, a)], None, None, None, None)
+    user = ("user", "u", None, None, None, None, None, None)
+    tool = [("run", None, '{"type":"object","properties":{"n":{"type":"integer"}},"required":["n"]}', None)]
+    df = rows(spark, [user, call("run", '{"n": 1}'), call("run", "[]"), call("fly", "{}"), call("run", '{"n": "x"}')], tool)
+    assert T.validate_tool_calls(df).first().errors == ["run: arguments are not a JSON object", "fly: not declared", "run.arguments.n: expected integer, got string"]
+    cut = T.apply_unsupported_tool_policy(rows(spark, [user, call("run", "{}"), user, call("fly", "{}")], tool)).first()
+    assert cut.unsupported_tool == "fly" and len(cut.messages) == 2
+    assert T.apply_unsupported_tool_policy(rows(spark, [user, call("fly", "{}")], tool)).count() == 0
+    assert T.apply_unsupported_tool_policy(rows(spark, [user, call("run", "{}")], tool)).count() == 1
+
+
+def test_conversation_filters(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (2, 0, "user", "q"), (2, 1, "assistant", " "), (2, 2, "tool", "t"), (3, 0, "user", "q"), (4, 0, None, None)],
+        "conv_id int, turn int, role string, text string",
+    )
+    assert dict(M.trace_is_complete(turns).collect()) == {1: True, 2: False, 3: False, 4: False}
+    assert dict(M.training_signal(turns).collect()) == {1: True, 2: False, 3: False, 4: False}
+    assert [(r.content, r.merged) for r in M.merge_assistant(turns).where("conv_id = 1").orderBy("turn").collect()] == [("q", 1), ("a\n\nb", 2)]
+    assert sorted(r.conv_id for r in M.dedupe_contained(turns).collect()) == [1, 2, 4]
+    kept = {r.conv_id: (r.status, r.keep_turns) for r in R.apply_length_policy(turns, 1000).collect()}
+    assert kept[1] == ("kept", 3)
+    with pytest.raises(Exception, match="over the limit"):
+        R.apply_length_policy(turns, 5, "error").collect()
+    m = R.mask(R.tokenize(R.render(turns.where("conv_id = 1")), R.CharTokenizer()), max_length=3)
+    assert len(m.first().labels) <= 3
+
+
+def test_entry(spark, sf):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and "pipeline" in e.queries() or "op1_toxicity" not in e.queries()
