@@ -15,7 +15,7 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once an application. The driver serves them; no folder is shared."""
+    """Send the package's sources to the executors, once an application, through the shared folder that spark.checkpoint.dir names."""
     sc = spark.sparkContext
     if sc.applicationId in _sent:
         return
@@ -27,10 +27,18 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     path = os.path.join(folder, f)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    place = tempfile.mkdtemp(prefix="turnmill-")  # on the driver alone, whose file server hands it out
-    atexit.register(shutil.rmtree, place, True)
-    path = os.path.join(place, "turnmill.zip")
-    with open(path, "wb") as out:
-        out.write(data.getvalue())
-    sc.addPyFile(path)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{sc.applicationId}/turnmill.zip")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = fs.create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(fs.makeQualified(path).toString())
+    else:  # a session without a shared folder, as in tests
+        place = tempfile.mkdtemp(prefix="turnmill-")
+        atexit.register(shutil.rmtree, place, True)
+        with open(os.path.join(place, "turnmill.zip"), "wb") as out:
+            out.write(data.getvalue())
+        sc.addPyFile(os.path.join(place, "turnmill.zip"))
     _sent.add(sc.applicationId)
