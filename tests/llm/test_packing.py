@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from turnmill.llm._linear import gram
+from turnmill.llm._linear import inverse as invert
 from turnmill.llm.packing import _price, pack, solve
 
 from .helpers import no_docs, odd_docs
@@ -54,6 +56,26 @@ def test_plan_meets_demand_with_few_bins():
     assert solve(np.zeros(0, np.int64), np.zeros(0, np.int64), 128) == []
 
 
+def test_all_classes_beside_a_session(spark):
+    """Every class of the program, solved in a driver that has a JVM, over the rounds after which the inverse is made anew."""
+    rng = np.random.default_rng(6)
+    sizes, demand = np.arange(1, 129), rng.integers(1, 2000, 128)
+    assert spark.range(3).count() == 3
+    plan = solve(sizes, demand, 128)
+    assert (sum(n * a for n, a in plan) == demand).all() and all(a @ sizes <= 128 for _, a in plan)
+
+
+def test_inverse():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 40, 128):
+        a = rng.normal(size=(n, n))
+        a[0, 0] = 0.0 if n > 1 else 2.0
+        assert np.allclose((invert(a)[:, :, None] * a[None]).sum(axis=1), np.eye(n), atol=1e-7)
+        assert np.allclose(gram(a, np.arange(n) + 1.0), (a.T * (np.arange(n) + 1.0)) @ a)
+    with pytest.raises(ValueError):
+        invert(np.zeros((2, 2)))
+
+
 def tokens(text):
     return len(re.findall(r"[^ \t\n\f\r]+", text or ""))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._linear import gram, product, solve
 from ._spark import col, materialize
 from ._text import Words, chunks, doc_terms, per_text
 
@@ -113,10 +114,9 @@ class Model:
 def _newton(z: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = 25) -> np.ndarray:
     w = start.astype(float)
     for _ in range(steps):
-        p = _sigmoid(z @ w)
-        s = weight * p * (1 - p)
-        h = (z * s[:, None]).T @ z + 1e-3 * np.eye(len(w))
-        w = w + np.clip(np.linalg.solve(h, z.T @ (weight * (y - p)) - 1e-3 * (w - start)), -2, 2)
+        p = _sigmoid(product(z, w))
+        h = gram(z, weight * p * (1 - p)) + 1e-3 * np.eye(len(w))
+        w = w + np.clip(solve(h, product(z.T, weight * (y - p)) - 1e-3 * (w - start)), -2, 2)
     return w
 
 
@@ -193,7 +193,7 @@ def fit(features: DataFrame, rounds: int = ROUNDS) -> Model | None:
     def stepped(model: Model, s: np.ndarray) -> np.ndarray:
         ridge = RIDGE * np.eye(d)
         ridge[0, 0] = 1e-6
-        move = np.linalg.solve(s[at_hess:at_count].reshape(d, d) + ridge, s[:d] - ridge @ model.content)
+        move = solve(s[at_hess:at_count].reshape(d, d) + ridge, s[:d] - product(ridge, model.content))
         return model.content + move * min(1.0, 10 / max(np.abs(move).max(), 1e-9))
 
     model = Model(np.zeros(d), np.zeros(_META + 1))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._linear import inverse as invert
+from ._linear import product
 from ._spark import col, materialize, small
 from .mixing import tokens
 
@@ -50,15 +52,15 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000)
         return []
     basis = np.diag((room // sizes).astype(float))
     inverse = np.diag(1 / basis.diagonal())
-    x = inverse @ demand
+    x = product(inverse, demand)
     for k in range(rounds):
         if k % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = invert(basis)
+            x = np.maximum(product(inverse, demand), 0)
         value, a = _price(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-7:
             break
-        d = inverse @ a
+        d = product(inverse, a)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(d > 1e-9, x / d, np.inf)
         out = int(ratio.argmin())
@@ -70,7 +72,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000)
         np.maximum(x, 0, out=x)
         basis[:, out] = a
         row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
+        inverse -= np.multiply.outer(d, row)
         inverse[out] = row
     left, plan = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable"):
