@@ -1,8 +1,13 @@
 import math
+import random
 import re
 from collections import defaultdict
 
-from turnmill.llm.sanitise import _DIGIT_LEADS, DISCLOSE, REMOVED, SUPPORT, find_entities, sanitise
+import pyarrow as pa
+
+from turnmill.llm import sanitise as S
+from turnmill.llm._text import utf8
+from turnmill.llm.sanitise import _DIGIT_LEADS, DISCLOSE, REMOVED, SUPPORT, _candidates, find_entities, sanitise
 
 from .helpers import no_docs, odd_docs
 
@@ -100,6 +105,26 @@ def test_each_entity_alone_in_its_text(spark):
     assert all(r.text != t for r, t in zip(got, ALONE))
 
 
+def test_each_match_is_a_candidate():
+    """The prefilter takes in whatever the pattern matches, in random texts made of its own parts."""
+    rng = random.Random(7)
+    parts = ["AKIA", "eyJ", "ghp_", "sk-", "@", ".", ":", "=", "+", "-", " ", "(415)", "555", "0100", "123-45-6789", "\u0663\u0664\u0665", "password", "token", "A1B2C3D4E5F6G7H8", "abcdefgh", "com", "10.0.0.1", "4111"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    b, off = utf8(pa.array(texts))
+    got = set(_candidates(b, off).tolist())
+    found = {i for i, t in enumerate(texts) if find_entities(t)}
+    assert len(found) > 500 and found <= got
+
+
+def test_many_entities_in_one_row_and_terms_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    long = " ".join(f"mail a{i}@corp.net zebulon{i % 2}" for i in range(500))
+    df = spark.createDataFrame([(0, long), (1, long + " end"), (2, "a1@corp.net only"), *[(i, f"plain {i}") for i in range(3, 40)]], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sanitise(df).collect()}
+    assert [got[i].n_masked for i in range(4)] == [500, 500, 1, 0] and len(got) == 40
+    assert [got[i].text for i in range(3)] == brute([r.text for r in df.orderBy("doc_id").collect()])[:3]
+
+
 def test_every_digit_is_searched():
     leads = {chr(c).encode()[0] for c in range(0x80, 0x110000) if chr(c).isdecimal()}
     assert all(_DIGIT_LEADS[b] for b in leads)

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import col, free, materialize
+from ._spark import BROADCAST_ROWS, col, free, materialize
 from ._text import Words, chunks, doc_terms, mix64, per_text
 
 DISCLOSE, SUPPORT, LETTERS = 0.5, 2, 3
+#: Disclosing terms are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
 REMOVED = "[REMOVED]"
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -217,7 +219,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     The three counts are appended; input columns of those names are replaced.
     Null and empty texts stay as they are, counts 0. Repeated rows are separate
-    documents in all counts and each is sanitised. An empty table gives an empty
+    documents in all counts and each is sanitised. Ids play no part. An empty table gives an empty
     table. The result doesn't depend on the order of rows.
     """
     counts = ["n_masked", "n_generalised", "n_removed"]
@@ -243,11 +245,13 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.select(*[col(c) for c in columns]).withColumn(ents, F.arrow_udf(found, "array<bigint>")(F.coalesce(col(text_col), F.lit(""))))
     zero = [F.lit(0).cast("int").alias(c) for c in counts]
     through = marked.where(F.size(ents) == 0).select(*[col(c) for c in columns], *zero)
-    # the few rows with entities meet their entities' disclosures; a row's texts travel with it
+    # the rows with entities are written once; only (row number, entity) meets the disclosures, and a text moves at most once
     hold = marked.where(F.size(ents) > 0).select(F.struct(*[col(c) for c in columns]).alias(row), F.col(ents))
-    hold = hold.withColumn(rid, F.struct(F.spark_partition_id(), F.monotonically_increasing_id()))
-    wide = hold.select(row, rid, F.explode(ents).alias(e)).join(told.select(F.col("entity").alias(told_e), F.col("terms").alias(terms)), F.col(e) == F.col(told_e), "left")
-    back = wide.groupBy(rid).agg(F.any_value(row).alias(row), F.collect_list(terms).alias(terms))
+    hold = materialize(hold.withColumn(rid, F.monotonically_increasing_id()), "held")
+    pairs = hold.select(rid, F.explode(ents).alias(e)).join(told.select(F.col("entity").alias(told_e), F.col("terms").alias(terms)), F.col(e) == F.col(told_e))
+    known = materialize(pairs.groupBy(rid).agg(F.collect_list(terms).alias(terms)), "told")
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t))), F.lit(0))).first()
+    back = hold.join(F.broadcast(known) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else known, rid, "left")
     done = back.withColumn(ents, F.arrow_udf(clean, "struct<text:string,n_masked:int,n_generalised:int,n_removed:int>")(F.col(row).getField(text_col), F.col(terms)))
     values = [F.col(ents).getField("text").alias(c) if c == text_col else F.col(row).getField(c).alias(c) for c in columns]
     return through.union(done.select(*values, *[F.col(ents).getField(c).alias(c) for c in counts]))
