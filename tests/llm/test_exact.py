@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from turnmill.llm.exact_dedup import _positions, exact_dedup, twice_filter
+from turnmill.llm.exact_dedup import _positions, exact_dedup, probes, twice_filter
 
 from .helpers import no_docs, odd_docs, odd_rows
 
@@ -41,6 +41,18 @@ def test_no_repeated_hash_is_missed(spark):
     assert got[500:20_000].mean() < 0.05
 
 
+def test_crowded_filter_still_passes_unique_rows(spark):
+    """At two bits a row and at one, with the probes that suit them."""
+    rng = np.random.default_rng(2)
+    for rows, share in ((32_768, 0.1), (65_536, 0.3)):
+        h = rng.integers(-(2**63), 2**63 - 1, rows)
+        h = np.concatenate((h[: rows - 300], h[:300]))
+        bits, packed = twice_filter(spark.createDataFrame([(int(x),) for x in h], "h bigint"), rows, 1 << 16)
+        pos = _positions(h, bits, probes(bits, rows))
+        got = ((packed[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+        assert bits == 1 << 16 and got[:300].all() and got[-300:].all() and (~got[300:-300]).mean() > share
+
+
 def test_ties_and_empty(spark):
     rows = [(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (2, "b", None), (2, "b", "z")]
     got = exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, row string")).collect()
