@@ -79,3 +79,18 @@ def test_odd_rows(spark):
     assert T.toxicity(no_docs(spark), labels).count() == 0
     none = T.toxicity(odd, labels.limit(0)).collect()
     assert len(none) == len(got) and all(r.score == 0 for r in none)
+
+
+def test_few_and_odd_labels(spark):
+    rows = texts(60, 1)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    toxic = [i for i, _, y in rows if y]
+    kind = "doc_id bigint, toxic int"
+    few = spark.createDataFrame([(i, 1) for i in toxic[:4]] + [(i, 0) for i, _, y in rows if not y][:20], kind)
+    got = {r.doc_id: r for r in T.toxicity(docs, few).collect()}
+    assert all(any(w in BAD for s in got[i].spans for w in rows[i][1][s.start : s.end].split()) for i in toxic[:4])
+    assert not any(got[i].is_toxic for i, _, y in rows if not y)
+    one = spark.createDataFrame([(toxic[0], 1)] + [(i, 0) for i, _, y in rows if not y], kind)
+    assert T.train(docs, one) is None and all(r.score == 0 for r in T.toxicity(docs, one).collect())
+    odd = spark.createDataFrame([(i, 7) for i in toxic] + [(i, -1) for i, _, y in rows if not y], kind)
+    assert T.train(docs, odd) is None

@@ -27,9 +27,11 @@ from ._text import Words, chunks, mix64
 
 #: The most labelled documents the field is fitted on: toxic and clean ones, drawn by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 4500
-SENTENCE, SLOTS, EPOCHS, RATE, DECAY, DAMP = 256, 1 << 18, 8, 0.5, 1e-5, 0.1
+SENTENCE, SLOTS, EPOCHS, STEPS, RATE, DECAY, DAMP = 256, 1 << 18, 8, 64, 0.5, 1e-5, 0.1
 #: Tokens at or above this marginal are offending.
 THRESHOLD = 0.5
+#: What a feature must show against chance to label tokens.
+NATS = 12
 _TEMPLATES = 6
 _SALT = mix64(np.arange(1, _TEMPLATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -145,7 +147,8 @@ class Labelled:
 
 
 def fit(chains: list[Labelled], epochs: int = EPOCHS) -> Field:
-    """Maximum likelihood by AdaGrad, a chunk a step; DAMP keeps features seen a few times from large weights."""
+    """Maximum likelihood by AdaGrad, a chunk a step, STEPS at least; DAMP keeps features seen a few times from large weights."""
+    epochs = max(epochs, -(-STEPS // max(len(chains), 1)))
     weight, grown = np.zeros((_TEMPLATES, SLOTS)), np.full((_TEMPLATES, SLOTS), DAMP)
     field = Field(weight, -2.0, np.zeros((2, 2)))
     grown_bias, grown_move = DAMP, np.full((2, 2), DAMP)
@@ -225,8 +228,10 @@ def marked_features(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, k)
     hit = known[np.minimum(at, max(len(known) - 1, 0))] == k if len(known) else np.zeros(len(k), bool)
     n = np.bincount(at[hit], np.concatenate(counts)[hit], len(known))
-    # nats against chance, and a rate far above that among clean documents
-    return known[(t * np.log((tox + clean) / tox) >= 12) & (t >= 4) & ((t + 0.5) / tox >= 30 * (n + 0.5) / clean)]
+    # nats against chance, and a rate far above that among clean documents; with labels too few for that, half of what they can show
+    nats = np.log((tox + clean) / tox)
+    need, least = (NATS, 4) if tox * nats >= 2 * NATS else (tox * nats / 2, 2)
+    return known[(t * nats >= need) & (t >= least) & ((t + 0.5) / tox >= min(30.0, clean / 2) * (n + 0.5) / clean)]
 
 
 def label_tokens(texts: pa.Array, toxic: np.ndarray) -> list[Labelled]:
@@ -240,11 +245,13 @@ def label_tokens(texts: pa.Array, toxic: np.ndarray) -> list[Labelled]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN) -> Field | None:
-    """Fit on at most ``most_toxic`` and ``most_clean`` labelled documents; None without both kinds.
+    """Fit on at most ``most_toxic`` and ``most_clean`` labelled documents.
 
-    ``labels`` has (doc_id, toxic); of several labels of an id the greatest counts, null ones are none.
+    ``labels`` has (doc_id, toxic); of several labels of an id the greatest counts. Null
+    labels and labels other than 0 and 1 are none. None without both kinds, and where
+    no word or prefix tells them apart: a single toxic document shows nothing.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = None
     for flag, most in ((1, most_toxic), (0, most_clean)):
         part = known.where(F.col("toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -255,21 +262,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     toxic = got.column("toxic").to_numpy() > 0
     if toxic.all() or not toxic.any():
         return None
-    return fit(label_tokens(got.column("text").combine_chunks(), toxic))
+    labelled = label_tokens(got.column("text").combine_chunks(), toxic)
+    return fit(labelled) if any(c.y.any() for c in labelled) else None
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None, most_toxic: int = TRAIN_TOXIC, most_clean: int = TRAIN_CLEAN) -> DataFrame:
     """(doc_id, score, toxic_tokens, is_toxic, spans) for every row.
 
     ``score`` is 1 - prod(1 - p) over the offending tokens, or without one the
     greatest marginal; ``toxic_tokens`` is the sum of marginals; ``spans`` lists
     (start, end, p) in characters, end exclusive, neighbours of one sentence
     joined, p their greatest marginal. Null, empty and wordless texts score 0
-    with no spans, as does every text where no labels of both kinds exist.
+    with no spans, as does every text where no field can be fitted (see ``train``).
     Repeated rows and null ids are scored like others; an empty table gives an
     empty table.
     """
-    field = field or train(docs, labels, id_col=id_col, text_col=text_col)
+    field = field or train(docs, labels, id_col=id_col, text_col=text_col, most_toxic=most_toxic, most_clean=most_clean)
     kind = "struct<score:double,toxic_tokens:double,spans:array<struct<start:int,end:int,p:double>>>"
     if field is None:
         made = F.lit(None).cast(kind)
