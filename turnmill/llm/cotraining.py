@@ -212,14 +212,14 @@ def fit(features: DataFrame, rounds: int = ROUNDS) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> Model | None:
-    """Co-train over all ``docs`` with ``labels`` (doc_id, quality); of several labels of an id the least counts, null ones are none."""
+    """Co-train over all ``docs`` with ``labels`` (doc_id, quality); of several labels of an id the least counts, null ones and those other than 0 and 1 are none."""
     def vector(text: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(np.arange(len(text) + 1, dtype=np.int32) * FEATURES, content_features(text).ravel())
 
     def slots(lang: pa.Array, source: pa.Array, chars: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(np.arange(len(lang) + 1, dtype=np.int32) * 3, meta_slots(lang, source, chars).ravel().astype(np.int32))
 
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    y = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     f = docs.select(
         col(id_col).alias("id"), F.arrow_udf(vector, "array<float>")(col(text_col)).alias("x"),
         F.arrow_udf(slots, "array<int>")(col(lang_col).cast("string"), col(source_col).cast("string"), col(chars_col).cast("double")).alias("slots"),
