@@ -1,7 +1,10 @@
 """Chat formatting over reply trees: paths from root to leaf by iterative self-joins, ranked, and formatted.
 
-Each round joins the table of partial paths with itself, so that paths double in
-length: a tree of depth d takes log2(d) + 1 rounds, each written to the shared folder.
+Each round joins the table of pointers to ancestors with itself, so that pointers
+double in length and scores are summed to the root: a tree of depth d takes
+log2(d) + 1 rounds, each written to the shared folder as one thin row a node. The
+best leaves are then known, and only for them the pointers, longest first, give the
+nodes of their paths.
 """
 
 from __future__ import annotations
@@ -32,42 +35,72 @@ def reply_nodes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return rows.selectExpr("conv", "cast(node as bigint) node", "cast(parent as bigint) parent", "role", "text", "cast(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END as bigint) AS score")
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """(conv, leaf, path, score) of each leaf of (conv, node, parent, score): path from the root, summed score.
+def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The tables (conv, node, up) of ancestors at distance 1, 2, 4, ..., and (conv, leaf, score) of the leaves that have a root.
 
-    A parent that doesn't exist makes a root. Nodes on or below a cycle have no root and give no path.
+    A parent that doesn't exist makes a root. Nodes on or below a cycle have no root.
     """
     thin = nodes.select("conv", "node", "parent", F.coalesce("score", F.lit(0)).alias("score"))
     known = thin.select(F.col("conv").alias("c"), F.col("node").alias("p"))
-    paths = thin.join(known, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("p")), "left")
-    paths = materialize(paths.select("conv", "node", F.col("p").alias("up"), F.array("node").alias("path"), "score"), "paths")
-    depth = paths.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    reach = 1
-    while reach <= depth and not paths.where("up is not null").isEmpty():
-        above = paths.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("score").alias("more"))
-        joined = paths.where("up is not null").join(above, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("n")))
-        joined = joined.select("conv", "node", F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("score") + F.col("more")).alias("score"))
-        paths = materialize(paths.where("up is null").union(joined), "paths")
+    at = thin.join(known, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("p")), "left")
+    # the score of a node's path as far as its pointer, which is not included
+    at = materialize(at.select("conv", "node", F.col("p").alias("up"), "score"), "pointers")
+    most = at.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    tables, reach = [], 1
+    while reach <= most and not at.where("up is not null").isEmpty():
+        tables.append(at.select("conv", "node", "up"))
+        above = at.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("score").alias("more"))
+        at = at.join(above, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("n")), "left")
+        at = materialize(at.select("conv", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0))).alias("score")), "pointers")
         reach *= 2
     parents = thin.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
-    return paths.where("up is null").join(parents, ["conv", "node"], "left_anti").select("conv", F.col("node").alias("leaf"), "path", "score")
+    leaves = at.where("up is null").join(parents, ["conv", "node"], "left_anti")
+    return tables, leaves.select("conv", F.col("node").alias("leaf"), "score")
+
+
+def steps(leaves: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(conv, leaf, node, back) for every node of the paths to the given (conv, leaf), ``back`` steps above the leaf."""
+    at = leaves.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("back"))
+    for k in range(len(tables) - 1, -1, -1):
+        jump = tables[k].where("up is not null").select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
+        both = at.join(jump, (F.col("conv") == F.col("c")) & (F.col("node") == F.col("n")), "left")
+        here, there = F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + 2**k).alias("back"))
+        at = both.select("conv", "leaf", F.explode(F.array_compact(F.array(here, F.when(F.col("up").isNotNull(), there)))).alias("s"))
+        at = at.select("conv", "leaf", F.col("s.node").alias("node"), F.col("s.back").alias("back"))
+    return at
+
+
+def branches(nodes: DataFrame) -> DataFrame:
+    """(conv, leaf, path, score) of each leaf of (conv, node, parent, score): path from the root, summed score."""
+    tables, leaves = pointers(nodes)
+    path = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node")))
+    paths = steps(leaves, tables).groupBy("conv", "leaf").agg(F.transform(path, lambda p: p["node"]).alias("path"))
+    return paths.join(leaves, ["conv", "leaf"]).select("conv", "leaf", "path", "score")
 
 
 def format_branches(nodes: DataFrame, *, top: int = TOP_BRANCHES) -> DataFrame:
     """(conv_id, branch, leaf, n_turns, score, text): the ``top`` branches of each tree by score, ties to the lesser leaf."""
-    best = branches(nodes).selectExpr("*", "row_number() OVER (PARTITION BY conv ORDER BY score DESC, leaf) AS branch").where(F.col("branch") <= top)
-    steps = best.select("conv", "branch", "leaf", F.col("score").alias("total"), F.posexplode("path").alias("pos", "node"))
-    turns = steps.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"])
+    tables, leaves = pointers(nodes)
+    best = leaves.selectExpr("*", "row_number() OVER (PARTITION BY conv ORDER BY score DESC, leaf) AS branch").where(F.col("branch") <= top)
+    best = materialize(best, "best-branches")
     line = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
-    out = turns.groupBy("conv", "branch", "leaf", "total").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("t"))
-    return out.select(
+    turns = steps(best, tables).join(nodes.select("conv", "node", line.alias("line")), ["conv", "node"])
+    out = turns.groupBy("conv", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "line"))).alias("t"))
+    return out.join(best, ["conv", "leaf"]).select(
         F.col("conv").alias("conv_id"), F.col("branch").cast("bigint").alias("branch"), "leaf", F.size("t").cast("bigint").alias("n_turns"),
-        F.col("total").alias("score"), F.array_join(F.transform("t", lambda t: t["line"]), "").alias("text"),
+        "score", F.array_join(F.transform("t", lambda t: t["line"]), "").alias("text"),
     )
 
 
 def reply_trees(turns: DataFrame, *, top: int = TOP_BRANCHES) -> DataFrame:
-    """The best branches of every conversation of a log of turns, each formatted as one conversation; see the parts for odd rows."""
+    """The best branches of every conversation of a log of turns, each formatted as one conversation.
+
+    (conv_id, branch, leaf, n_turns, score, text); ``top`` branches a conversation,
+    best first. Rows with a null conversation or turn are left out, a null role is
+    ``unknown``, a null text empty, fully equal rows are one turn, equal scores go to
+    the lesser leaf, other columns play no part. A text of any length stays whole. An
+    empty table gives an empty table.
+    """
     return format_branches(materialize(reply_nodes(turns), "nodes"), top=top)
 
 
