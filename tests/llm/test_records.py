@@ -39,7 +39,7 @@ def test_tokens_equal_the_library(encoding):
     rng = random.Random(2)
     parts = ["word", " ", "  ", "\n", "\t", "don't", "été", " ", " ", "123", "!?", "\U0001f600", "中文", "\x85", "\x1c", "a'll", "\r\n"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["", " ", "\n\n", " a", "a "]
-    tok = R.Tokenizer(R.VOCABULARY)
+    tok = R.Tokenizer(open(R.VOCABULARY, "rb").read())
     for _, b, off in R.chunks(pa.array(texts)):
         ids, counts = tok.encode(b, off)
         edge = np.concatenate(([0], np.cumsum(counts)))
@@ -47,18 +47,28 @@ def test_tokens_equal_the_library(encoding):
 
 
 def test_round_trip_over_files(spark, sf, encoding, tmp_path):
+    """Written twice to one folder: the second write adds to the first."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
-    path = f"file://{tmp_path}/out"
-    R.write_records(R.token_records(docs), path)
     texts = {r.doc_id: r.text for r in docs.collect()}
-    index = R.read_index(spark, path).collect()
-    assert len(index) == len(texts)
-    random.Random(1).shuffle(index)
-    for r in index:
-        with open(tmp_path / "out" / f"shard-{r.shard:05d}.bin", "rb") as f:
-            f.seek(r.offset)
-            frame = f.read(r.length)
-        assert encoding.decode(R.read_record(frame).tolist()) == texts[r.doc_id] and r.n_tokens == (r.length - 16) // 2
+    for times in (1, 2):
+        index = R.write_records(docs, f"file://{tmp_path}/out").collect()
+        assert sorted(r.doc_id for r in index) == sorted([*texts] * times)
+        random.Random(1).shuffle(index)
+        for r in index:
+            with open(tmp_path / "out" / r.file, "rb") as f:
+                f.seek(r.offset)
+                frame = f.read(r.length)
+            assert encoding.decode(R.read_record(frame).tolist()) == texts[r.doc_id] and r.n_tokens == (r.length - 16) // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.bin")) == sum(r.length for r in index)
+    assert R.write_records(docs.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_query_writes_and_reads_back(spark, sf):
+    from turnmill.llm.queries import op5_token_records
+
+    index = op5_token_records(spark, sf)
+    assert index.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert index.columns == ["doc_id", "shard", "offset", "length", "n_tokens", "file"]
 
 
 def test_damage_is_found():
@@ -89,3 +99,5 @@ def test_odd_rows(spark, encoding):
             assert offset == at
             at += length
     assert R.token_records(no_docs(spark)).count() == 0
+    named = spark.createDataFrame([("7", "a"), ("x", "b")], "doc_id string, text string")
+    assert [r.doc_id for r in R.token_records(named).collect()] == [7, None]

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._spark import scratch
 from .cotraining import quality_scores
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_dedup
 from .mixing import MIX_SQL, mix_sources
 from .packing import pack
-from .records import token_records
+from .records import VOCABULARY, write_records
 from .reply_trees import REPLY_SQL, reply_trees
 from .sanitise import sanitise
 from .simhash_dedup import simhash_dedup
@@ -38,8 +39,9 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees(_table(spark, sf_dir, "conversations"))
 
 
-def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_records(_table(spark, sf_dir, "documents"))
+def op5_token_records(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The index, read back, of the shard files that the query writes to the shared folder."""
+    return write_records(_table(spark, sf_dir, "documents"), scratch(spark, "records"), vocabulary=vocabulary)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A record is framed as: length (8 bytes, little-endian), masked CRC-32C of those 8
 bytes (4), payload, masked CRC-32C of the payload (4). The payload holds token ids
 as little-endian uint16, or uint32 where the vocabulary needs it. Every input
-partition makes one shard; each record's shard, offset and length go to an index,
-so that records can be read in any order.
+partition makes one shard; each record's file, offset and length go to an index of its
+own, so that records can be read in any order.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ from __future__ import annotations
 import base64
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-
 from ._spark import col
 from ._text import _MUL, chunks, mix64
 
@@ -28,7 +26,8 @@ from ._text import _MUL, chunks, mix64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MASK_DELTA = 0xA282EAD8
-SCHEMA = "doc_id bigint, shard int, offset bigint, length bigint, n_tokens bigint, record binary"
+INDEX = "doc_id bigint, shard int, offset bigint, length bigint, n_tokens bigint"
+_COLUMNS = ["doc_id", "shard", "offset", "length", "n_tokens"]
 _BLOCK = 256
 _CACHE = 400_000
 
@@ -110,11 +109,10 @@ class Tokenizer:
     beyond ASCII are encoded in one go.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.encoding = tiktoken.Encoding("records", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
         self.clear()
@@ -229,109 +227,83 @@ def token_records(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str
 
     A shard is an input partition, ``offset`` the record's place in it, ``length``
     that of the whole frame. A null or empty text gives a record of no tokens;
-    repeated rows give a record each; a null id stays null. An empty table gives
-    no records.
+    repeated rows give a record each; a null id stays null, and an id that is no
+    BIGINT becomes null. An empty table gives no records. The driver reads the
+    vocabulary and sends it to the tasks.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard, place = None, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = batch.column(0)
-            for first, b, off in chunks(batch.column(1)):
-                tok = tok or Tokenizer(vocabulary)
-                tokens, counts = tok.encode(b, off)
-                data, at = frame(tokens.astype(tok.dtype).view(np.uint8), counts * tok.dtype.itemsize)
-                n = len(counts)
-                edge = np.append(at, len(data)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, n), pa.array(np.full(n, shard, np.int32)), pa.array(at + place), pa.array(np.diff(edge).astype(np.int64)),
-                        pa.array(counts), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(data)]),
-                    ],
-                    ["doc_id", "shard", "offset", "length", "n_tokens", "record"],
-                )
-                place += len(data)
-
-    return docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, SCHEMA)
-
-
-class _Commit(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
+    ranks = _vocabulary(docs.sparkSession, vocabulary)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
+        for ids, counts, data, at in _framed(batches, ranks.value):
+            edge = np.append(at, len(data)).astype(np.int32)
+            record = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*_index(ids, counts, at, len(data), place), record], [*_COLUMNS, "record"])
+            place += len(data)
 
-class RecordWriter(DataSourceWriter):
-    """Writes shard files and their index files; a task writes under its own name and commits by renaming."""
+    return _thin(docs, id_col, text_col).mapInArrow(run, f"{INDEX}, record binary")
 
-    def __init__(self, path: str):
-        self.path = path
 
-    def _fs(self):
-        from pyarrow import fs
+def _vocabulary(spark: SparkSession, path: str):
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())  # a file of fixed size
 
-        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else os.path.abspath(self.path))
 
-    def write(self, rows):
-        import pyarrow.parquet as pq
+def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).try_cast("bigint").alias("doc_id"), col(text_col).alias("text"))
 
-        system, root = self._fs()
-        system.create_dir(root, recursive=True)
-        ctx = TaskContext.get()
-        temp = f"_temporary-{ctx.partitionId():05d}-{ctx.taskAttemptId()}"
-        index: dict[str, list] = {"doc_id": [], "shard": [], "offset": [], "length": [], "n_tokens": []}
-        place, shard = 0, ctx.partitionId()
-        with system.open_output_stream(f"{root}/{temp}.bin") as out:
-            for r in rows:
-                out.write(bytes(r["record"]))
-                for key, value in (("doc_id", r["doc_id"]), ("shard", shard), ("offset", place), ("length", len(r["record"])), ("n_tokens", r["n_tokens"])):
-                    index[key].append(value)
-                place += len(r["record"])
-        schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64())])
-        with system.open_output_stream(f"{root}/{temp}.idx") as out:
-            pq.write_table(pa.table(index, schema=schema), out)
-        return _Commit([f"{temp} shard-{shard:05d}"])
 
-    def commit(self, messages) -> None:
-        system, root = self._fs()
-        system.create_dir(f"{root}/index", recursive=True)
-        for m in messages:
-            for pair in m.names if m else []:
-                temp, name = pair.split(" ")
-                system.move(f"{root}/{temp}.bin", f"{root}/{name}.bin")
-                system.move(f"{root}/{temp}.idx", f"{root}/index/{name}.parquet")
-        self._clear(system, root)
-        with system.open_output_stream(f"{root}/_SUCCESS"):
-            pass
+def _framed(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[tuple[pa.Array, np.ndarray, bytes, np.ndarray]]:
+    """(ids, tokens a record, framed records, their offsets) of runs of rows."""
+    tok = None
+    for batch in batches:
+        for first, b, off in chunks(batch.column(1)):
+            tok = tok or Tokenizer(ranks)
+            tokens, counts = tok.encode(b, off)
+            data, at = frame(tokens.astype(tok.dtype).view(np.uint8), counts * tok.dtype.itemsize)
+            yield batch.column(0).slice(first, len(counts)), counts, data, at
 
-    def abort(self, messages) -> None:
-        self._clear(*self._fs())
 
-    @staticmethod
-    def _clear(system, root: str) -> None:
-        from pyarrow import fs
+def _index(ids: pa.Array, counts: np.ndarray, at: np.ndarray, size: int, place: int) -> list[pa.Array]:
+    shard = np.full(len(counts), TaskContext.get().partitionId(), np.int32)
+    return [ids, pa.array(shard), pa.array(at + place), pa.array(np.diff(np.append(at, size))), pa.array(counts)]
 
-        for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.startswith("_temporary-"):
-                system.delete_file(info.path)
 
+def write_records(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Shard files of records under ``path``, and apart from them the index ``path/index``, which is returned.
 
-class RecordSink(DataSource):
-    """``df.write.format("token_records").mode("append").save(folder)`` for the rows of token_records."""
+    Each task writes its shard to a file of its own name, so that tasks that are
+    lost or run twice don't meet, and further writes to the same folder add to it.
+    The index (doc_id, shard, offset, length, n_tokens, file) is committed once all
+    tasks are done and names only files of tasks that counted; others are litter.
+    Odd rows are as in ``token_records``; a shard without rows has no file.
+    """
+    spark = docs.sparkSession
+    ranks = _vocabulary(spark, vocabulary)
 
-    @classmethod
-    def name(cls) -> str:
-        return "token_records"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, place, name = None, 0, f"shard-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
+        try:
+            for ids, counts, data, at in _framed(batches, ranks.value):
+                out = out or _create(path, name)
+                out.write(data)
+                yield pa.RecordBatch.from_arrays([*_index(ids, counts, at, len(data), place), pa.array([name] * len(counts))], [*_COLUMNS, "file"])
+                place += len(data)
+        finally:
+            if out:
+                out.close()
 
-    def schema(self) -> str:
-        return SCHEMA
+    _thin(docs, id_col, text_col).mapInArrow(run, f"{INDEX}, file string").write.mode("append").parquet(f"{path}/index")
+    return read_index(spark, path)
 
-    def writer(self, schema, overwrite: bool) -> RecordWriter:
-        return RecordWriter(self.options["path"])
 
+def _create(path: str, name: str):
+    """A new file in a folder that all executors share."""
+    from pyarrow import fs
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Shard files ``shard-NNNNN.bin`` and, apart from them, ``index/shard-NNNNN.parquet`` in a folder that executors share."""
-    records.sparkSession.dataSource.register(RecordSink)
-    records.write.format("token_records").mode("append").save(path)
+    system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    system.create_dir(root, recursive=True)
+    return system.open_output_stream(f"{root}/{name}")
 
 
 def read_record(data: bytes, wide: bool = False) -> np.ndarray:
@@ -346,4 +318,4 @@ def read_record(data: bytes, wide: bool = False) -> np.ndarray:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    return spark.read.schema(f"{INDEX}, file string").parquet(f"{path}/index")
