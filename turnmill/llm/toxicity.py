@@ -228,9 +228,9 @@ def marked_features(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, k)
     hit = known[np.minimum(at, max(len(known) - 1, 0))] == k if len(known) else np.zeros(len(k), bool)
     n = np.bincount(at[hit], np.concatenate(counts)[hit], len(known))
-    # nats against chance, and a rate far above that among clean documents; with labels too few for that, half of what they can show
+    # nats against chance, and a rate far above that among clean documents; with labels too few for that, three quarters of what they can show
     nats = np.log((tox + clean) / tox)
-    need, least = (NATS, 4) if tox * nats >= 2 * NATS else (tox * nats / 2, 2)
+    need, least = (NATS, 4) if tox * nats >= 2 * NATS else (0.75 * tox * nats, 2)
     return known[(t * nats >= need) & (t >= least) & ((t + 0.5) / tox >= min(30.0, clean / 2) * (n + 0.5) / clean)]
 
 
