@@ -90,8 +90,8 @@ def model_text(c: Column) -> Column:
 def escape_line_breaks(c: Column) -> Column:
     """JSON text without the breaks that line readers beyond JSON know."""
     out = c
-    for ch, code in (("\u0085", r"\u0085"), (" ", r" "), (" ", r" ")):
-        out = F.replace(out, F.lit(ch), F.lit(code))
+    for code in (0x85, 0x2028, 0x2029):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
     return out
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import covered, labels_from_offsets, select_supervised, truncate
+from ..functions.intervals import minus
+from ..functions.spans import covered, select_supervised, truncate
 from ..schema import KINDS
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 POLICY = {"reasoning": True, "final_answer": True, "tool_call": True, "tool_response": False, "user": False, "system": False, "developer": False}
+IGNORED = -100
 POLICIES = ("drop", "trim_followups", "error", "keep")
 
 
@@ -42,9 +46,13 @@ def render(turns: DataFrame) -> DataFrame:
 
 def supervised(rendered: DataFrame, **flags: bool) -> DataFrame:
     """Adds ``supervised``: the spans trained on, under POLICY changed by flags such as ``user=True``."""
+    return rendered.withColumn("supervised", select_supervised(F.col("spans"), _policy(flags)))
+
+
+def _policy(flags: dict[str, bool]) -> dict[str, bool]:
     if unknown := set(flags) - set(KINDS):
         raise ValueError(f"no such span kind: {sorted(unknown)}")
-    return rendered.withColumn("supervised", select_supervised(F.col("spans"), POLICY | flags))
+    return POLICY | flags
 
 
 class CharTokenizer:
@@ -84,29 +92,66 @@ class FastTokenizer:
         return e.ids, e.offsets
 
 
+def _lists(parts: list, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, edges) of a list of sequences."""
+    edge = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=edge[1:])
+    return np.fromiter(itertools.chain.from_iterable(parts), kind, int(edge[-1])), edge
+
+
 def tokenize(rendered: DataFrame, tokenizer, text_col: str = "text") -> DataFrame:
-    """Adds ``input_ids``, ``offsets`` and ``token_length``; any object with ``encode(text) -> (ids, offsets)`` will do."""
-    kind = "struct<input_ids:array<int>,offsets:array<struct<start:int,end:int>>>"
-
-    @F.pandas_udf(kind)
-    def run(text: pd.Series) -> pd.DataFrame:
-        ids, offs = [], []
-        for t in text:
-            i, o = tokenizer.encode(t or "")
-            ids.append(list(i))
-            offs.append([{"start": a, "end": b} for a, b in o])
-        return pd.DataFrame({"input_ids": ids, "offsets": offs})
-
-    out = rendered.withColumn("__t", run(F.col(text_col)))
+    """Adds ``input_ids``, ``offsets`` and ``token_length``; any object with ``encode(text) -> (ids, offsets)`` will do.
+
+    A batch is one call where the tokenizer has ``encode_batch(texts)``. A null text has no tokens.
+    """
+    def run(text: pa.Array) -> pa.Array:
+        texts = [t or "" for t in text.to_pylist()]
+        pairs = tokenizer.encode_batch(texts) if hasattr(tokenizer, "encode_batch") else [tokenizer.encode(t) for t in texts]
+        ids, edge = _lists([p[0] for p in pairs], np.int32)
+        starts, ends = (np.fromiter((o[k] for p in pairs for o in p[1]), np.int32, len(ids)) for k in (0, 1))
+        spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], ["start", "end"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, pa.array(ids)), pa.ListArray.from_arrays(edge, spans)], ["input_ids", "offsets"])
+
+    # nondeterministic: evaluated once, and not again by filters that see through the projection
+    made = F.arrow_udf(run, "struct<input_ids:array<int>,offsets:array<struct<start:int,end:int>>>").asNondeterministic()
+    out = rendered.withColumn("__t", made(F.col(text_col)))
     out = out.withColumns({"input_ids": F.col("__t.input_ids"), "offsets": F.col("__t.offsets")}).drop("__t")
     return out.withColumn("token_length", F.size("input_ids"))
 
 
-def mask(tokenized: DataFrame, *, max_length: int | None = None, keep_end: bool = False, max_supervised_tokens: int | None = None, **flags: bool) -> DataFrame:
-    """Adds ``labels``; rows without a supervised token, or with too many, are dropped; ids and labels are truncated alike."""
-    out = supervised(tokenized, **flags).withColumn("labels", labels_from_offsets(F.col("input_ids"), F.col("offsets"), F.col("supervised")))
-    used = F.size(F.filter("labels", lambda x: x != -100))
-    out = out.where(used > 0) if max_supervised_tokens is None else out.where((used > 0) & (used <= max_supervised_tokens))
+def selected(spans: Iterable[dict], policy: dict[str, bool]) -> list[tuple[int, int]]:
+    """Union of the enabled kinds without what a disabled kind covers; a kind the policy doesn't name is enabled."""
+    on, off = [], []
+    for s in spans:
+        (on if policy.get(s["kind"], True) else off).append((s["start"], s["end"]))
+    return minus(on, off)
+
+
+def labeller(policy: dict[str, bool]):
+    """Labels of a batch: a token keeps its id if it lies wholly in one of its row's selected spans; one of no width is ignored."""
+    def run(ids: pa.Array, offsets: pa.Array, spans: pa.Array) -> pa.Array:
+        n = np.asarray(ids.value_lengths().fill_null(0))
+        row = np.repeat(np.arange(len(n), dtype=np.int64), n)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        start, end = (offsets.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+        chosen = [(r << 32 | a, r << 32 | b) for r, ss in enumerate(spans.to_pylist()) for a, b in selected(ss or [], policy)]
+        keep = np.zeros(len(flat), bool)
+        if chosen and len(flat):
+            a, b = np.array(chosen, np.int64).T
+            k = np.searchsorted(a, row << 32 | start, "right") - 1
+            keep = (end > start) & (k >= 0) & ((row << 32 | end) <= b[np.maximum(k, 0)])
+        return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(np.where(keep, flat, IGNORED).astype(np.int32)))
+
+    return run
+
+
+def mask(tokenized: DataFrame, *, max_length: int | None = None, keep_end: bool = False, max_supervised_tokens: int | None = None, keep_all: bool = False, **flags: bool) -> DataFrame:
+    """Adds ``supervised`` and ``labels``; rows without a supervised token, or with too many, are dropped unless ``keep_all``; ids and labels are truncated alike."""
+    made = F.arrow_udf(labeller(_policy(flags)), "array<int>").asNondeterministic()
+    out = supervised(tokenized, **flags).withColumn("labels", made("input_ids", "offsets", "spans"))
+    used = F.size(F.filter("labels", lambda x: x != IGNORED))
+    if not keep_all:
+        out = out.where(used > 0) if max_supervised_tokens is None else out.where((used > 0) & (used <= max_supervised_tokens))
     return out.withColumns({c: truncate(F.col(c), max_length, keep_end) for c in ("input_ids", "labels")}).drop("offsets")
 
 
@@ -162,5 +207,3 @@ def label_stats(turns: DataFrame, **flags: bool) -> DataFrame:
     r = supervised(render(turns), **flags)
     return r.select("conv_id", F.length("text").cast("bigint").alias("tokens"), covered(F.col("supervised")).alias("supervised")).withColumn("ratio_bp", F.expr("supervised * 10000 div tokens"))
 
-
-Renderer = Callable[[DataFrame], DataFrame]

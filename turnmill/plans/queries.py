@@ -143,16 +143,16 @@ def policy_matrix(spark, sf_dir):
     return r.select(each.alias("p")).groupBy("p.policy").agg(F.sum("p.n").alias("supervised"))
 
 
-@_query("""
-    SELECT conv_id, list_sum(list_transform(range(0, len(text)), lambda i: 1))::BIGINT AS tokens, supervised FROM (
-        SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text,
-               sum(length(text)) FILTER (WHERE role = 'assistant')::BIGINT AS supervised FROM conversations GROUP BY conv_id) WHERE supervised > 0
+@_query(f"""
+    SELECT conv_id, sum(length({_SEG}))::BIGINT AS tokens, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS supervised,
+           CASE WHEN coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) = 0 THEN 'no supervised tokens' ELSE '' END AS issues
+    FROM conversations GROUP BY conv_id
 """)
 def token_labels(spark, sf_dir):
-    """Labels by a character tokenizer, audited over all rows."""
-    masked = render.mask(render.tokenize(render.render(_t(spark, sf_dir, "conversations")), render.CharTokenizer()))
-    a = render.audit(masked, None).where(F.size("issues") == 0)
-    return a.select(F.col("row").alias("conv_id"), F.col("tokens").cast("bigint").alias("tokens"), F.col("supervised").cast("bigint").alias("supervised"))
+    """Labels of every conversation by a character tokenizer, with what the audit finds."""
+    masked = render.mask(render.tokenize(render.render(_t(spark, sf_dir, "conversations")), render.CharTokenizer()), keep_all=True)
+    a = render.audit(masked, None)
+    return a.select(F.col("row").alias("conv_id"), F.col("tokens").cast("bigint").alias("tokens"), F.col("supervised").cast("bigint").alias("supervised"), F.array_join("issues", "; ").alias("issues"))
 
 
 _INTERVALS = "SELECT l_orderkey, (l_linenumber * 10)::INTEGER AS s, (l_linenumber * 10 + l_quantity)::INTEGER AS e FROM lineitem"
