@@ -12,7 +12,7 @@ CODEX = [
     {"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "done"}]}},
 ]
 CLAUDE = [
-    {"type": "user", "message": {"role": "user", "content": "hi"}}, {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}], "usage": {"input_tokens": 3, "output_tokens": 4}}},
+    {"type": "user", "sessionId": "s", "message": {"role": "user", "content": "hi"}}, {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}], "usage": {"input_tokens": 3, "output_tokens": 4}}},
     {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "t", "name": "Read", "input": {"p": "x"}}]}}, {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": "body"}]}},
 ]
 ROWS = [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "<think>w</think>a"}]}, {"prompt": "p", "response": "r", "thinking": "z"}]
@@ -33,9 +33,9 @@ def test_conversion(spark, traces, tmp_path):
     c = rows["codex.jsonl", 1]
     assert (c.trace_type, c.prompt, [m.role for m in c.messages]) == ("codex", "do it", ["user", "assistant", "tool", "assistant"])
     assert c.messages[1].reasoning_content == "think" and c.messages[1].tool_calls[0].name == "run" and c.messages[2].name == "run"
-    assert json.loads(c.tools[0].parameters)["required"] == ["n"]
+    assert json.loads({t.name: t.parameters for t in c.tools}["run"])["required"] == ["n"]
     a = rows["claude.jsonl", 1]
-    assert a.trace_type == "claude_code" and [m.role for m in a.messages] == ["user", "assistant", "tool"] and a.messages[1].reasoning_content == "hm"
+    assert a.trace_type == "claude-code" and [m.role for m in a.messages] == ["user", "assistant", "tool"] and a.messages[1].reasoning_content == "hm"
     assert [(m.content, m.reasoning_content) for m in rows["rows.jsonl", 1].messages] == [("q", None), ("a", "w")]
     assert load_traces(spark, traces).count() == 3 and load_traces(spark, traces, drop_incomplete=False).count() == 4 and load_traces(spark, traces, max_examples=2).count() == 2
     assert scan_events(spark, traces).count() == len(CODEX) + len(CLAUDE) + len(ROWS)
@@ -44,7 +44,7 @@ def test_conversion(spark, traces, tmp_path):
 
 
 def test_bad_lines(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"type": "user", "message": {"role": "user", "content": "hi"}}\nnot json\n')
+    (tmp_path / "x.jsonl").write_text('{"type": "user", "sessionId": "s", "message": {"role": "user", "content": "hi"}}\nnot json\n')
     with pytest.raises(Exception, match="line 2"):
         convert_traces(spark, f"file://{tmp_path}").collect()
     assert convert_traces(spark, f"file://{tmp_path}", skip_invalid_lines=True).first().prompt == "hi"
