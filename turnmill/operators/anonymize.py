@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scrub import Scrubber
+from ..functions.values import compact
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 RESERVED = ("example.com", "example.net", "example.org")
 HOME = r"(?<![\w])(/home/|/Users/|[A-Za-z]:\\Users\\)([A-Za-z0-9._-]+)"
@@ -61,3 +68,46 @@ def anonymize(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows with their text scrubbed and ``changed``; an unchanged text keeps its bytes."""
     new = anonymize_text(F.col(text_col))
     return docs.withColumn("__new", new).withColumn("changed", F.coalesce(F.col("__new") != F.col(text_col), F.lit(False))).withColumn(text_col, F.col("__new")).drop("__new")
+
+
+SESSIONS = "source_file string, text string, emails int, usernames int, api_keys int, lines int, changed int"
+
+
+def anonymize_sessions(files: DataFrame) -> DataFrame:
+    """(source_file, text, emails, usernames, api_keys, lines, changed) of (source_file, text) of JSONL sessions.
+
+    A session is scrubbed by one task, as its people are numbered as they appear;
+    equal secrets get equal stand-ins in all sessions. Only lines whose value changes
+    are written anew; a line that is no JSON is scrubbed as text, and all others keep
+    their bytes. A null text stays null.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["source_file"], pdf["text"]):
+                s, out, changed = Scrubber(), [], 0
+                for line in (text or "").split("\n"):
+                    new = scrub_line(s, line)
+                    changed += new != line
+                    out.append(new)
+                rows.append((name, None if text is None else "\n".join(out), s.counts["email"], s.counts["username"], s.counts["api_key"], sum(bool(x.strip()) for x in (text or "").split("\n")), changed))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SESSIONS.split(", ")])
+
+    return files.select("source_file", "text").mapInPandas(run, SESSIONS)
+
+
+def scrub_line(s: Scrubber, line: str) -> str:
+    if not line.strip():
+        return line
+    try:
+        value = json.loads(line)
+    except ValueError:
+        return s.text(line)
+    new = s.value(value)
+    return line if new == value else compact(new)
+
+
+def anonymize_report(sessions: DataFrame) -> DataFrame:
+    """(kind, replacements): totals of ``anonymize_sessions`` by kind."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("n")) for k, c in (("email", "emails"), ("username", "usernames"), ("api_key", "api_keys"))]))
+    return sessions.select(pairs.alias("p")).groupBy("p.kind").agg(F.sum("p.n").alias("replacements"))
