@@ -40,7 +40,7 @@ def unwrap_prompt_file(c: Column) -> Column:
 
 def prompt_key(c: Column) -> Column:
     """Lines of a prompt joined by line feeds, whatever their ends were, without outer space."""
-    return strip_ws(F.regexp_replace(F.regexp_replace(unwrap_prompt_file(c), "\r\n", "\n"), r"[\x0b\x0c\r\x1c-\x1e\x85  ]", "\n"))
+    return strip_ws(F.regexp_replace(F.regexp_replace(unwrap_prompt_file(c), "\r\n", "\n"), r"[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", "\n"))
 
 
 def completion_key(system: Column, prompt: Column, follow_ups: Column) -> Column:

@@ -191,3 +191,10 @@ def write_rows(rows: DataFrame, path: str) -> None:
     from ..functions.text import escape_line_breaks
 
     rows.select(escape_line_breaks(F.to_json(F.struct("*"))).alias("value")).write.text(path)
+
+
+def escape_line_breaks_of(spark: SparkSession, value: str) -> str:
+    """One text as ``write_rows`` would escape it."""
+    from ..functions.text import escape_line_breaks
+
+    return spark.range(1).select(escape_line_breaks(F.lit(value))).first()[0]
