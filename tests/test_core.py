@@ -10,6 +10,7 @@ from turnmill.operators import messages as M
 from turnmill.operators import mixing_plan as X
 from turnmill.operators import render as R
 from turnmill.operators import tools as T
+from turnmill.plans import trace_queries  # noqa: F401
 from turnmill.plans.queries import ORACLES, QUERIES
 from turnmill.schema import TRAIN_ROW
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonschema import infer_parameters, json_type, merge_types, validate
+from ..functions.jsonschema import infer_parameters, json_type, merge, merge_types, validate
 
 
 def observed_keys(calls: DataFrame, tool_col: str, args_col: str) -> DataFrame:
@@ -22,22 +23,33 @@ def observed_keys(calls: DataFrame, tool_col: str, args_col: str) -> DataFrame:
     return per.join(F.broadcast(n), "tool").select("tool", "key", "calls", "seen", (F.col("seen") == F.col("calls")).alias("required"), "types")  # a row a tool
 
 
-def infer_tool_schemas(calls: DataFrame, tool_col: str = "name", args_col: str = "arguments", dialect: str = "anyOf") -> DataFrame:
-    """(tool, parameters): nested schemas, as JSON, from every call. Distinct arguments meet first, so that repeated calls count once."""
+def infer_tool_schemas(calls: DataFrame, tool_col: str = "name", args_col: str = "arguments", dialect: str = "anyOf", parts: int = 64) -> DataFrame:
+    """(tool, parameters): nested schemas, as JSON, from every call.
+
+    Distinct arguments meet first, so that repeated calls count once. They are
+    inferred in ``parts`` by hash and merged then, so that no task sees all
+    arguments of one tool; a call whose arguments are no object doesn't count.
+    """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         samples = []
         for a in sorted(pdf["a"]):
             try:
-                samples.append(json.loads(a))
+                value = json.loads(a)
             except ValueError:
                 continue
-        out = infer_parameters(samples)
-        if dialect == "types":
-            out = _types(samples)
+            if isinstance(value, dict):
+                samples.append(value)
+        out = (_types(samples) if dialect == "types" else infer_parameters(samples)) if samples else None
+        return pd.DataFrame({"tool": [key[0]], "s": [None if out is None else json.dumps(out, sort_keys=True)]})
+
+    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [json.loads(x) for x in sorted(x for x in pdf["s"] if x)]
+        out = functools.reduce(merge_types if dialect == "types" else merge, found) if found else infer_parameters([])
         return pd.DataFrame({"tool": [key[0]], "parameters": [json.dumps(out, sort_keys=True)]})
 
     each = calls.select(F.col(tool_col).alias("tool"), F.col(args_col).alias("a")).where("tool is not null and a is not null").distinct()
-    return each.groupBy("tool").applyInPandas(run, "tool string, parameters string")
+    part = F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")
+    return each.select("tool", "a", part).groupBy("tool", "part").applyInPandas(run, "tool string, s string").groupBy("tool").applyInPandas(join, "tool string, parameters string")
 
 
 def _types(samples: list) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import covered, merge_spans, pair, subtract_spans
+from ..functions.text import micros_iso
 from ..operators import anonymize as anon
 from ..operators import messages as msg
 from ..operators import mixing_plan, profile, render, tools
@@ -76,9 +77,11 @@ def merge_assistant(spark, sf_dir):
     return msg.merge_assistant(_t(spark, sf_dir, "conversations"))
 
 
-@_query(_MERGE.format("(SELECT * FROM conversations WHERE role <> 'user')"))
+@_query(_MERGE.format("(SELECT * REPLACE (CASE WHEN role = 'user' THEN 'assistant' ELSE role END AS role) FROM conversations)"))
 def merge_assistant_runs(spark, sf_dir):
-    return msg.merge_assistant(_t(spark, sf_dir, "conversations").where("role <> 'user'"))
+    """Users count as assistants here, as the table has no runs of its own."""
+    role = F.when(F.col("role") == "user", "assistant").otherwise(F.col("role"))
+    return msg.merge_assistant(_t(spark, sf_dir, "conversations").withColumn("role", role))
 
 
 @_query(f"SELECT conv_id, string_agg({_SEG}, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -200,12 +203,12 @@ def unique_prompts(spark, sf_dir):
 
 @_query(f"""
     WITH k AS ({_KEYED}), c AS ({_COMPLETE})
-    SELECT conv_id, resume_key FROM k WHERE resume_key NOT IN (SELECT resume_key FROM k JOIN c USING (conv_id) WHERE complete AND conv_id % 2 = 0)
+    SELECT conv_id, resume_key FROM k WHERE resume_key NOT IN (SELECT resume_key FROM k JOIN c USING (conv_id) WHERE complete)
 """)
 def resume_pending(spark, sf_dir):
-    """The even conversations stand for those that an earlier run has completed."""
+    """Prompts that no complete conversation has answered."""
     turns = _t(spark, sf_dir, "conversations")
-    return msg.pending_prompts(msg.prompts(turns), msg.trace_is_complete(turns).where("conv_id % 2 = 0"))
+    return msg.pending_prompts(msg.prompts(turns), msg.trace_is_complete(turns))
 
 
 @_query("SELECT event_id, user_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -235,9 +238,10 @@ def think_split(spark, sf_dir):
 
 @_query("SELECT event_type, count(*) AS calls, count(*) FILTER (WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) AS valid FROM events GROUP BY event_type")
 def tool_args_valid(spark, sf_dir):
-    """Arguments against a flat schema, checked by VARIANT types without Python."""
-    kind = F.schema_of_variant(F.variant_get(F.try_parse_json("props"), "$.k", "variant"))
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(kind == "BIGINT").alias("valid"))
+    """Arguments of every call against the declared schema."""
+    tool = F.array(F.struct(F.col("event_type").alias("name"), F.lit('{"type":"object","properties":{"k":{"type":"integer"}},"required":["k"]}').alias("parameters")))
+    errors = F.pandas_udf(tools.argument_errors, "array<string>")("event_type", "props", tool)
+    return _t(spark, sf_dir, "events").withColumn("e", errors).groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.size("e") == 0).alias("valid"))
 
 
 @_query("""
@@ -330,9 +334,9 @@ def content_hash(spark, sf_dir):
     SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || 'Z' AS at FROM events
 """)
 def timestamp_norm(spark, sf_dir):
-    at = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp_ntz").cast("timestamp"), "UTC"))
-    return _t(spark, sf_dir, "events").select("event_id", F.expr("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")").alias("s"), F.pmod(at, F.lit(1_000_000)).alias("u")).select(
-        "event_id", F.concat("s", F.when(F.col("u") == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(F.col("u").cast("string"), 6, "0"))), F.lit("Z")).alias("at"))
+    e = _t(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) if dict(e.dtypes)["ts"] == "timestamp" else F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return e.select("event_id", micros_iso(micros).alias("at"))
 
 
 @_query(r"SELECT count(*) AS rows, count(*) FILTER (WHERE NOT regexp_matches(text, '\S')) AS blank, sum(length(text))::BIGINT AS characters, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines FROM documents")
