@@ -18,8 +18,6 @@ from ..scratch import scratch
 from ..sources.jsonl import convert_texts, convert_traces, scan_events, trainable, write_rows
 from .queries import _SEG, ORACLES, QUERIES, _query, _t
 
-_N = F.col("turn").cast("string")
-
 
 def _json(**parts: Column) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
@@ -37,73 +35,93 @@ def _block(kind: str, key: str, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias(key))
 
 
-_text = F.col("text")
-_given = F.concat(F.lit('{"n":'), _N, F.lit("}"))
-_plan = F.concat(F.lit("plan "), _N)
-_done = F.concat(F.lit("ok "), _N)
-_id = F.concat(F.lit("c"), _N)
-_n = _obj(n=F.col("turn"))
+def _turn_no() -> Column:
+    return F.col("turn").cast("string")
+
+
+def _text() -> Column:
+    return F.col("text")
+
+
+def _given() -> Column:
+    return F.concat(F.lit('{"n":'), _turn_no(), F.lit("}"))
+
+
+def _plan() -> Column:
+    return F.concat(F.lit("plan "), _turn_no())
+
+
+def _done() -> Column:
+    return F.concat(F.lit("ok "), _turn_no())
+
+
+def _id() -> Column:
+    return F.concat(F.lit("c"), _turn_no())
+
+
+def _n() -> Column:
+    return _obj(n=F.col("turn"))
 
 
 def _codex_lines() -> Column:
     item = lambda **p: _json(type=F.lit("response_item"), payload=_obj(**p))
-    said = item(type=F.lit("message"), role=F.col("role"), content=F.array(_block("input_text", "text", _text)))
+    said = item(type=F.lit("message"), role=F.col("role"), content=F.array(_block("input_text", "text", _text())))
     return F.when(_is("assistant"), F.array(
-        item(type=F.lit("reasoning"), summary=F.array(_block("summary_text", "text", _plan))), said,
-        item(type=F.lit("function_call"), name=F.lit("run"), call_id=_id, arguments=_given), item(type=F.lit("function_call_output"), call_id=_id, output=_done),
+        item(type=F.lit("reasoning"), summary=F.array(_block("summary_text", "text", _plan()))), said,
+        item(type=F.lit("function_call"), name=F.lit("run"), call_id=_id(), arguments=_given()), item(type=F.lit("function_call_output"), call_id=_id(), output=_done()),
     )).when(_is("user"), F.array(_json(type=F.lit("turn_context"), payload=_obj(model=F.lit("m"))), said)).otherwise(F.array(said))
 
 
 def _claude_lines() -> Column:
     line = lambda kind, message: _json(type=F.lit(kind), sessionId=F.lit("s"), message=message)
-    parts = [_obj(role=F.lit("assistant"), id=F.concat(F.lit("m"), _N), content=F.array(b)) for b in (_block("thinking", "thinking", _plan), _block("text", "text", _text))]
-    use = _obj(role=F.lit("assistant"), id=F.concat(F.lit("m"), _N), content=F.array(_obj(type=F.lit("tool_use"), id=_id, name=F.lit("run"), input=_n)))
+    parts = [_obj(role=F.lit("assistant"), id=F.concat(F.lit("m"), _turn_no()), content=F.array(b)) for b in (_block("thinking", "thinking", _plan()), _block("text", "text", _text()))]
+    use = _obj(role=F.lit("assistant"), id=F.concat(F.lit("m"), _turn_no()), content=F.array(_obj(type=F.lit("tool_use"), id=_id(), name=F.lit("run"), input=_n())))
     # pieces of one message come in another order than they are told in
     return F.when(_is("assistant"), F.array(
         line("assistant", use), line("assistant", parts[1]), line("assistant", parts[0]),
-        line("user", _obj(role=F.lit("user"), content=F.array(_obj(type=F.lit("tool_result"), tool_use_id=_id, content=_done)))),
-    )).when(_is("user"), F.array(line("user", _obj(role=F.lit("user"), content=_text)))).otherwise(F.array(_json(type=F.lit("system"), sessionId=F.lit("s"), subtype=F.lit("informational"), content=_text)))
+        line("user", _obj(role=F.lit("user"), content=F.array(_obj(type=F.lit("tool_result"), tool_use_id=_id(), content=_done())))),
+    )).when(_is("user"), F.array(line("user", _obj(role=F.lit("user"), content=_text())))).otherwise(F.array(_json(type=F.lit("system"), sessionId=F.lit("s"), subtype=F.lit("informational"), content=_text())))
 
 
 def _pi_lines() -> Column:
     line = lambda **m: _json(type=F.lit("message"), message=_obj(**m))
-    text = _block("text", "text", _text)
-    call = F.to_json(_obj(type=F.lit("toolCall"), id=_id, name=F.lit("run"), arguments=_n))
-    answer = F.concat(F.lit('{"type":"message","message":{"role":"assistant","content":['), F.to_json(_block("thinking", "thinking", _plan)), F.lit(","), F.to_json(text), F.lit(","), call, F.lit("]}}"))
-    lost = _json(type=F.lit("message"), message=_obj(role=F.lit("toolResult"), toolCallId=F.concat(F.lit("x"), _N), toolName=F.lit("gone"), content=F.array(_block("text", "text", F.lit("Tool gone not found")))))
-    return F.when(_is("assistant"), F.array(answer, lost, line(role=F.lit("toolResult"), toolCallId=_id, toolName=F.lit("run"), content=F.array(_block("text", "text", _done))))).otherwise(F.array(line(role=F.col("role"), content=F.array(text))))
+    text = _block("text", "text", _text())
+    call = F.to_json(_obj(type=F.lit("toolCall"), id=_id(), name=F.lit("run"), arguments=_n()))
+    answer = F.concat(F.lit('{"type":"message","message":{"role":"assistant","content":['), F.to_json(_block("thinking", "thinking", _plan())), F.lit(","), F.to_json(text), F.lit(","), call, F.lit("]}}"))
+    lost = _json(type=F.lit("message"), message=_obj(role=F.lit("toolResult"), toolCallId=F.concat(F.lit("x"), _turn_no()), toolName=F.lit("gone"), content=F.array(_block("text", "text", F.lit("Tool gone not found")))))
+    return F.when(_is("assistant"), F.array(answer, lost, line(role=F.lit("toolResult"), toolCallId=_id(), toolName=F.lit("run"), content=F.array(_block("text", "text", _done()))))).otherwise(F.array(line(role=F.col("role"), content=F.array(text))))
 
 
 def _blocks_lines(head: str) -> Column:
     """Cursor and Droid: blocks in messages, results in user messages."""
     wrap = lambda role, blocks: F.concat(F.lit(head.format(role)), blocks, F.lit("]}}"))
-    use = F.to_json(_obj(type=F.lit("tool_use"), id=_id, name=F.lit("run"), input=_n))
-    text = F.to_json(_block("text", "text", _text))
-    answer = F.concat_ws(",", F.to_json(_block("thinking", "thinking", _plan)), text, use)
-    result = F.to_json(_obj(type=F.lit("tool_result"), tool_use_id=_id, content=_done))
+    use = F.to_json(_obj(type=F.lit("tool_use"), id=_id(), name=F.lit("run"), input=_n()))
+    text = F.to_json(_block("text", "text", _text()))
+    answer = F.concat_ws(",", F.to_json(_block("thinking", "thinking", _plan())), text, use)
+    result = F.to_json(_obj(type=F.lit("tool_result"), tool_use_id=_id(), content=_done()))
     return F.when(_is("assistant"), F.array(wrap("assistant", answer), wrap("user", result))).when(_is("user"), F.array(wrap("user", text))).otherwise(F.array(wrap("system", text)))
 
 
 def _dialogue_lines() -> Column:
     turn = lambda who, value: F.to_json(_obj(**{"from": F.lit(who), "value": value}))
-    answer = F.concat(F.lit("<think>"), _plan, F.lit("</think>"), _text, F.lit('<tool_call>{"name": "run", "arguments": '), _given, F.lit("}</tool_call>"))
-    result = F.concat(F.lit('<tool_response>{"tool_call_id": "'), _id, F.lit('", "name": "run", "content": "'), _done, F.lit('"}</tool_response>'))
-    return F.when(_is("assistant"), F.array(turn("gpt", answer), turn("tool", result))).when(_is("user"), F.array(turn("human", _text))).otherwise(F.array(turn("system", _text)))
+    answer = F.concat(F.lit("<think>"), _plan(), F.lit("</think>"), _text(), F.lit('<tool_call>{"name": "run", "arguments": '), _given(), F.lit("}</tool_call>"))
+    result = F.concat(F.lit('<tool_response>{"tool_call_id": "'), _id(), F.lit('", "name": "run", "content": "'), _done(), F.lit('"}</tool_response>'))
+    return F.when(_is("assistant"), F.array(turn("gpt", answer), turn("tool", result))).when(_is("user"), F.array(turn("human", _text()))).otherwise(F.array(turn("system", _text())))
 
 
 def _agent_lines() -> Column:
     line = lambda **p: _json(type=F.lit("external_message"), **p)
-    call = F.array(_obj(id=_id, type=F.lit("function"), function=_obj(name=F.lit("run"), arguments=_given)))
-    return F.when(_is("assistant"), F.array(line(role=F.lit("assistant"), content=_text, reasoning=_plan, tool_calls=call), line(role=F.lit("tool"), tool_call_id=_id, name=F.lit("run"), content=_done))).otherwise(F.array(line(role=F.col("role"), content=_text)))
+    call = F.array(_obj(id=_id(), type=F.lit("function"), function=_obj(name=F.lit("run"), arguments=_given())))
+    return F.when(_is("assistant"), F.array(line(role=F.lit("assistant"), content=_text(), reasoning=_plan(), tool_calls=call), line(role=F.lit("tool"), tool_call_id=_id(), name=F.lit("run"), content=_done()))).otherwise(F.array(line(role=F.col("role"), content=_text())))
 
 
 def _row_lines() -> Column:
     """Messages of a training row; thinking stands inline."""
     m = lambda **p: F.to_json(_obj(**p))
-    call = F.array(_obj(id=_id, type=F.lit("function"), function=_obj(name=F.lit("run"), arguments=_given)))
-    inline = F.concat(F.lit("<think>"), _plan, F.lit("</think>"), _text)
-    return F.when(_is("assistant"), F.array(m(role=F.lit("model"), content=inline, tool_calls=call), m(role=F.lit("tool"), tool_call_id=_id, name=F.lit("run"), content=_done))).otherwise(
-        F.array(m(role=F.when(_is("system"), "developer").otherwise(F.col("role")), content=_text)))
+    call = F.array(_obj(id=_id(), type=F.lit("function"), function=_obj(name=F.lit("run"), arguments=_given())))
+    inline = F.concat(F.lit("<think>"), _plan(), F.lit("</think>"), _text())
+    return F.when(_is("assistant"), F.array(m(role=F.lit("model"), content=inline, tool_calls=call), m(role=F.lit("tool"), tool_call_id=_id(), name=F.lit("run"), content=_done()))).otherwise(
+        F.array(m(role=F.when(_is("system"), "developer").otherwise(F.col("role")), content=_text())))
 
 
 #: format: lines of a turn, first line, what the lines are wrapped in
@@ -212,13 +230,14 @@ def trainable_rows(spark, sf_dir):
 
 def _plain_rows(turns: DataFrame) -> DataFrame:
     """One training row a conversation, without tools."""
-    m = F.to_json(_obj(role=F.col("role"), content=_text))
+    m = F.to_json(_obj(role=F.col("role"), content=_text()))
     per = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]), ",").alias("m"))
     name = F.col("conv_id").cast("string")
     return convert_texts(per.select(F.concat(name, F.lit(".jsonl")).alias("source_file"), F.concat(F.lit('{"id":"'), name, F.lit('","messages":['), "m", F.lit("]}")).alias("text")))
 
 
-_CONV = F.col("row_id").cast("bigint").alias("conv_id")
+def _conv() -> Column:
+    return F.col("row_id").cast("bigint").alias("conv_id")
 
 
 @_query(f"""
@@ -229,7 +248,7 @@ _CONV = F.col("row_id").cast("bigint").alias("conv_id")
 def prepare_rows(spark, sf_dir):
     """Rows rendered and marked; answers grow to the end of their block."""
     p = prepare.prepared(prepare.prepare(_plain_rows(_t(spark, sf_dir, "conversations"))))
-    return p.select(_CONV, "text", F.col("token_length").cast("bigint").alias("token_length"), covered(select_supervised(F.col("spans"), POLICY)).alias("supervised"), F.size("spans").cast("bigint").alias("spans"))
+    return p.select(_conv(), "text", F.col("token_length").cast("bigint").alias("token_length"), covered(select_supervised(F.col("spans"), POLICY)).alias("supervised"), F.size("spans").cast("bigint").alias("spans"))
 
 
 _HEAD = "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>'"
@@ -245,7 +264,7 @@ def prepare_headers(spark, sf_dir):
     from ..functions.templates import Headers
 
     p = prepare.prepared(prepare.prepare(_plain_rows(_t(spark, sf_dir, "conversations")), prepare.Settings(renderer=Headers())))
-    return p.select(_CONV, "text", F.col("token_length").cast("bigint").alias("token_length"), covered(select_supervised(F.col("spans"), POLICY)).alias("supervised"))
+    return p.select(_conv(), "text", F.col("token_length").cast("bigint").alias("token_length"), covered(select_supervised(F.col("spans"), POLICY)).alias("supervised"))
 
 
 @_query(f"""
@@ -271,7 +290,7 @@ ORACLES["prepare_trim"] = f"""
 def prepare_trim(spark, sf_dir):
     """Rows over the limit lose follow-up turns, found by bisection over renders."""
     p = prepare.prepare(_plain_rows(_t(spark, sf_dir, "conversations")), prepare.Settings(max_length=1500, policy="trim_followups"))
-    return p.select(_CONV, "status", F.col("token_length").cast("bigint").alias("token_length"), F.col("final_token_length").cast("bigint").alias("final_token_length"))
+    return p.select(_conv(), "status", F.col("token_length").cast("bigint").alias("token_length"), F.col("final_token_length").cast("bigint").alias("final_token_length"))
 
 
 QUERIES["prepare_trim"] = prepare_trim
