@@ -45,11 +45,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and survives lost executors."""
+    return _written(df, name, *partition_by)[0]
+
+
+def _written(df: DataFrame, name: str, *partition_by: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -81,9 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al. 2014), each
     written to the shared folder: O(log^2 n) rounds, no node's neighbours gathered.
     """
-    e = materialize(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    spark = edges.sparkSession
+    e, path = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -92,7 +95,9 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(lower, "u")
         small_ = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small_.union(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
+        before = path
+        e, path = _written(small_.union(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
+        _delete(spark, before)  # nothing reads it any more
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
