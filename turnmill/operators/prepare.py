@@ -7,12 +7,15 @@ beside the data.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +154,7 @@ class Preparer:
             if fit is None or (s.masking and not made[len(fit)]["spans"]):
                 return found | {"status": "dropped"}
             out, found = made[len(fit)], found | {"status": "trimmed", "messages_kept": len(fit)}
-        return found | out | {"final_token_length": len(out["input_ids"])}
+        return found | out | {"final_token_length": len(out["input_ids"]), "attention_mask": [1] * len(out["input_ids"])}
 
 
 def prepare(rows: DataFrame, settings: Settings | None = None, preserve: Sequence[str] = ("source_file", "source_line", "metadata")) -> DataFrame:
@@ -168,22 +171,44 @@ def prepare(rows: DataFrame, settings: Settings | None = None, preserve: Sequenc
     need = list(dict.fromkeys(["raw_index", "messages", "tools", *kept, *(c for c in ("metadata", "row_id", "source", "source_file", "source_line") if c in has)]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*_NAMES, *kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Preparer(s)
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.to_dict("records"):
-                tools = [json.loads(t["raw"]) for t in r["tools"] if t["raw"]] if r["tools"] is not None else []
-                got = dict.fromkeys(_NAMES) | p.row(template_messages(r["messages"]) if r["messages"] is not None else [], tools)
+            for r in batch.to_pylist():
+                tools = [json.loads(t["raw"]) for t in r["tools"] or [] if t["raw"]]
+                got = dict.fromkeys(_NAMES) | p.row(template_messages(r["messages"] or []), tools)
                 meta = json.loads(r["metadata"]) if r.get("metadata") else {}
                 got |= {"raw_index": r["raw_index"], "row_id": row_label(meta, r.get("row_id")), "source": meta.get("source") or r.get("source"), "source_key": s.source_key or meta.get("source_key")}
-                if got["offsets"] is not None:
-                    got["attention_mask"] = [1] * len(got["offsets"])
-                    got["offsets"] = [{"start": a, "end": b} for a, b in got["offsets"]]
                 out.append(got | {c: r[c] for c in kept})
-            yield pd.DataFrame(out, columns=[*_NAMES, *kept])
+            yield pa.RecordBatch.from_arrays([_column(n, [o[n] for o in out], batch) for n in names], names)
+
+    return rows.select(*need).mapInArrow(run, OUTCOME + (", " + kinds if kinds else ""))
 
-    return rows.select(*need).mapInPandas(run, OUTCOME + (", " + kinds if kinds else ""))
+
+_PLAIN = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
+_TYPES = {c.split()[0]: _PLAIN[c.split()[1]] for c in OUTCOME.split(", ") if c.split()[1] in _PLAIN}
+_SPAN_TYPE = pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "source_start", "source_end")] + [("kind", pa.string()), ("role", pa.string())]))
+
+
+def _column(name: str, values: list, batch: pa.RecordBatch) -> pa.Array:
+    """A column of outcomes; token columns are built flat."""
+    if name in ("input_ids", "attention_mask", "offsets"):
+        lengths = [len(v) if v is not None else 0 for v in values]
+        edge = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        missing = pa.array([v is None for v in values], pa.bool_())
+        flat = itertools.chain.from_iterable(v for v in values if v is not None)
+        if name == "offsets":
+            pairs = np.fromiter(itertools.chain.from_iterable(flat), np.int32, 2 * int(edge[-1])).reshape(-1, 2)
+            inner: pa.Array = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"])
+        else:
+            inner = pa.array(np.fromiter(flat, np.int32 if name == "input_ids" else np.int8, int(edge[-1])))
+        return pa.ListArray.from_arrays(pa.array(edge), inner, mask=missing)
+    if name == "spans":
+        return pa.array(values, _SPAN_TYPE)
+    return pa.array(values, _TYPES[name] if name in _TYPES else batch.schema.field(name).type)
 
 
 def prepared(outcomes: DataFrame) -> DataFrame:

@@ -302,8 +302,8 @@ QUERIES["prepare_trim"] = prepare_trim
 def align_labels(spark, sf_dir):
     """Labels of ids that a trainer has put a special token before."""
     ids = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("t"))
-    one = lambda i: (F.pmod(F.xxhash64(F.substring("t", i, F.lit(1))), F.lit(50000)) + 2).cast("int")
-    full = ids.select("conv_id", F.transform(F.sequence(F.lit(1), F.length("t")), one).alias("full_ids"))
+    chars = F.filter(F.split("t", ""), lambda c: c != "")
+    full = ids.select("conv_id", F.transform(chars, lambda c: (F.pmod(F.xxhash64(c), F.lit(50000)) + 2).cast("int")).alias("full_ids"))
     rows = full.select("conv_id", F.concat(F.array(F.lit(1)), "full_ids").alias("input_ids"), "full_ids", F.col("full_ids").alias("labels"))
     a = prepare.align_labels(rows)
     return a.select("conv_id", F.size("aligned").cast("bigint").alias("tokens"), F.size(F.filter("aligned", lambda x: x != -100)).cast("bigint").alias("labelled"))

@@ -69,7 +69,7 @@ class _Reader(DataSourceReader):
         return [_Store(p) for p in sorted(found, key=lambda p: (-os.path.getmtime(p), p))]
 
     def read(self, partition: _Store) -> Iterator[tuple]:
-        return read_store(partition.path, self.tables)
+        return read_store(partition.path, self.tables) if partition else iter(())  # no store, no partition
 
 
 class SqliteRows(DataSource):
