@@ -57,3 +57,27 @@ def test_odd_rows(spark):
     assert got[2].text == "<|im_start|>unknown\n<|im_end|>\n"
     assert reply_trees(spark.createDataFrame([], schema)).count() == 0
     assert reply_nodes(spark.createDataFrame(rows, schema)).count() == 5
+
+
+def test_a_conversation_over_many_partitions(spark):
+    """One conversation holds most rows; numbers and parents equal those of a plain loop, also where runs cross partitions."""
+    rng = random.Random(8)
+    rows = [(1, t, role, f"t{t} {i}") for t, role in enumerate(r for r in ("user", "assistant", "tool", "user") * 60 for _ in range(1)) for i in range(rng.randint(1, 30))]
+    rows += [(c, t, rng.choice(["user", "assistant"]), "x") for c in (0, 2, 3) for t in range(rng.randint(1, 40))]
+    for batch in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {(r.conv, r.node): (r.parent, r.role, r.text) for r in reply_nodes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want = {}
+        for conv in (0, 1, 2, 3):
+            parent, before = None, None
+            for node, (_, _, role, text) in enumerate(sorted(set(r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2], r[3]))):
+                if before is not None and role != before:
+                    parent = node - 1
+                before = role
+                want[conv, node] = (parent, role, text)
+        assert got == want

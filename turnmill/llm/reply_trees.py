@@ -9,6 +9,9 @@ nodes of their paths.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +26,51 @@ def reply_nodes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     Nodes are numbered from 0 by turn, role and text (nulls first). A turn
     answers the last turn of the nearest earlier run of another role; turns of
     one run are alternative answers to the same parent. Fully equal rows are one
-    node. Rows with a null conversation or turn have no place and are left out;
+    node. Turns are numbered in sorted partitions, so that no task holds a whole
+    conversation. Rows with a null conversation or turn have no place and are left out;
     a null role counts as a role of its own and prints as ``unknown``; a null
     text is empty. The score is the length of an assistant's text, else 0.
     """
     rows = turns.select(col(conv_col).alias("conv"), col(turn_col).alias("turn"), col(role_col).alias("role"), col(text_col).alias("text"))
     rows = rows.where("conv is not null and turn is not null").select("conv", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    w = "(PARTITION BY conv ORDER BY turn, role, text)"
-    rows = rows.selectExpr("*", f"row_number() OVER {w} - 1 AS node", f"lag(role) OVER {w} AS before")
-    rows = rows.selectExpr("*", "last_value(CASE WHEN before <> role THEN node - 1 END, true) OVER (PARTITION BY conv ORDER BY node ROWS UNBOUNDED PRECEDING) AS parent")
-    return rows.selectExpr("conv", "cast(node as bigint) node", "cast(parent as bigint) parent", "role", "text", "cast(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END as bigint) AS score")
+    kind = rows.schema["conv"].dataType.simpleString()
+    rows = rows.repartitionByRange("conv", "turn", "role", "text").sortWithinPartitions("conv", "turn", "role", "text")
+    at = rows.select(F.spark_partition_id().alias("part"), "conv", "role", "text").mapInArrow(_number, f"part int, conv {kind}, role string, text string, place bigint, before bigint")
+    at = materialize(at, "numbered")
+    # a conversation over several partitions: at most two of a partition, its first and its last, reach beyond it
+    ends = at.groupBy("conv", "part").agg(F.count("*").alias("n"), F.min_by("role", "place").alias("first"), F.max_by("role", "place").alias("last"), F.max_by("before", "place").alias("answers"))
+    over = ends.join(ends.groupBy("conv").count().where("count > 1").select("conv"), "conv", "left_semi")
+    w = "(PARTITION BY conv ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    over = over.selectExpr("*", f"coalesce(sum(n) OVER {w}, 0) AS offset", "lag(last) OVER (PARTITION BY conv ORDER BY part) AS role_before")
+    over = over.selectExpr("*", "CASE WHEN role_before <> first THEN offset - 1 END AS opens").selectExpr("*", "coalesce(offset + answers, opens) AS told")
+    over = over.selectExpr("conv AS c", "part AS p", "offset", f"coalesce(opens, last_value(told, true) OVER {w}) AS open")
+    rows = at.join(F.broadcast(over), (F.col("conv") == F.col("c")) & (F.col("part") == F.col("p")), "left")  # two rows a partition
+    return rows.selectExpr(
+        "conv", "coalesce(offset, 0) + place AS node", "coalesce(coalesce(offset, 0) + before, open) AS parent", "role", "text",
+        "cast(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END as bigint) AS score",
+    )
+
+
+def _number(batches):
+    """Sorted turns of one partition with their place in its part of the conversation, and the last place of the nearest earlier run of another role there."""
+    conv = role = None
+    n, answers = 0, -1
+    for batch in batches:
+        m = batch.num_rows
+        if not m:
+            continue
+        c, r = batch.column(1), batch.column(2)
+        new, other = np.ones(m, bool), np.ones(m, bool)
+        new[0], other[0] = c[0].as_py() != conv, r[0].as_py() != role
+        if m > 1:
+            new[1:], other[1:] = (pc.not_equal(x.slice(1), x.slice(0, m - 1)).to_numpy(zero_copy_only=False) for x in (c, r))
+        row = np.arange(m)
+        start = np.maximum.accumulate(np.where(new, row, -1))  # -1: begun in an earlier batch
+        place = np.where(start >= 0, row - start, row + n)
+        changed = np.maximum.accumulate(np.where(other & ~new, row, -1))
+        before = np.where((changed >= start) & (changed >= 0), place[changed] - 1, np.where(start >= 0, -1, answers))
+        conv, role, n, answers = c[m - 1].as_py(), r[m - 1].as_py(), int(place[-1]) + 1, int(before[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(before, mask=before < 0)], ["part", "conv", "role", "text", "place", "before"])
 
 
 def pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -101,7 +139,7 @@ def reply_trees(turns: DataFrame, *, top: int = TOP_BRANCHES) -> DataFrame:
     the lesser leaf, other columns play no part. A text of any length stays whole. An
     empty table gives an empty table.
     """
-    return format_branches(materialize(reply_nodes(turns), "nodes"), top=top)
+    return format_branches(reply_nodes(turns), top=top)
 
 
 REPLY_SQL = f"""
