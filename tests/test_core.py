@@ -150,3 +150,33 @@ def test_entry(spark, sf):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "pipeline" in e.queries() or "op1_toxicity" not in e.queries()
+
+
+def plain_anonymize(text):
+    """The rules of ``anonymize_text`` with Python's regular expressions."""
+    import hashlib
+    import re
+
+    if text is None:
+        return None
+    found = [e.lower() for e in re.findall(A.EMAIL, text)]
+    people = list(dict.fromkeys(e for e in found if e.split("@")[-1] not in A.RESERVED and not e.endswith(".example")))
+    for e in sorted(people, key=lambda e: (-len(e), e)):
+        text = re.sub(rf"(?i)(?<![A-Za-z0-9._%+-]){re.escape(e)}(?![A-Za-z0-9-])", f"redacted-user{people.index(e) + 1}@example.com", text)
+    for i, u in enumerate(dict.fromkeys(m[2].lower() for m in re.finditer(A.HOME, text))):
+        text = re.sub(rf"(?i)(/home/|/Users/|[A-Z]:\\Users\\){re.escape(u)}(?![\w.-])", lambda m, i=i: f"{m[1]}user{i + 1}", text)
+    secrets = [m[0] for m in re.finditer("|".join(A.SECRETS), text)]
+    for p in (A.BEARER, A.URL_PASSWORD, A.ASSIGNED):
+        secrets += [m[2] for m in re.finditer(p, text)]
+    exempt = re.compile(r"(?i)^(\*+|x+|your[_-].*|<.*>|\$\{?.*|changeme|none|null|true|false|placeholder.*|REDACTED.*)$")
+    for s in sorted({s for s in secrets if not exempt.match(s)}, key=lambda s: (-len(s), s)):
+        text = text.replace(s, "REDACTED_" + hashlib.sha256(s.encode()).hexdigest()[:24].upper())
+    return text
+
+
+def test_anonymized_documents_by_brute_force(spark, sf01):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.text, r.changed) for r in QUERIES["anonymize_documents"](spark, sf01).collect()}
+    want = {i: plain_anonymize(t) for i, t in docs.items()}
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert all(c == (want[i] != docs[i]) for i, (_, c) in got.items()) and sum(c for _, c in got.values()) > 5
