@@ -5,15 +5,27 @@ import pytest
 from turnmill.sources.jsonl import convert_traces, load_traces, read_prompts, scan_events, write_rows
 from turnmill.streaming.ingest import progress_totals, read_events
 
+
+
+def item(kind, **p):
+    return {"type": "response_item", "payload": dict(p, type=kind)}
+
+
+def block(kind, value, key="text"):
+    return [{"type": kind, key: value}]
+
+
+def turn(kind, content, **more):
+    return {"type": kind, "sessionId": "s", "message": dict(more, role=kind, content=content)}
+
+
 CODEX = [
-    {"type": "session_meta", "payload": {"id": "s1"}}, {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<environment_context>x"}]}},
-    {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "do it"}]}}, {"type": "response_item", "payload": {"type": "reasoning", "summary": [{"type": "summary_text", "text": "think"}]}},
-    {"type": "response_item", "payload": {"type": "function_call", "name": "run", "call_id": "c1", "arguments": "{\"n\": 1}"}}, {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c1", "output": "ok"}},
-    {"type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "done"}]}},
+    dict(type="session_meta", payload={"id": "s1"}), item("message", role="user", content=block("input_text", "<environment_context>x")), item("message", role="user", content=block("input_text", "do it")),
+    item("reasoning", summary=block("summary_text", "think")), item("function_call", name="run", call_id="c1", arguments='{"n": 1}'), item("function_call_output", call_id="c1", output="ok"), item("message", role="assistant", content=block("output_text", "done")),
 ]
 CLAUDE = [
-    {"type": "user", "sessionId": "s", "message": {"role": "user", "content": "hi"}}, {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}], "usage": {"input_tokens": 3, "output_tokens": 4}}},
-    {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "t", "name": "Read", "input": {"p": "x"}}]}}, {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": "body"}]}},
+    turn("user", "hi"), turn("assistant", block("thinking", "hm", "thinking"), usage=dict(input_tokens=3, output_tokens=4)), turn("assistant", [dict(type="tool_use", id="t", name="Read", input={"p": "x"})]),
+    turn("user", [dict(type="tool_result", tool_use_id="t", content="body")]),
 ]
 ROWS = [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "<think>w</think>a"}]}, {"prompt": "p", "response": "r", "thinking": "z"}]
 

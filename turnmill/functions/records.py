@@ -13,11 +13,12 @@ from .traces import media_blocks
 from .values import obj, objects, text
 
 TERMS = ("chat", "composer", "conversation", "bubble", "aichat", "agent", "prompt", "message")
-_LISTS = ("messages", "conversation", "conversations", "bubbles", "chat", "composer", "turns", "items")
-_CONTENT = ("content", "text", "message", "value", "markdown", "rawText", "richText", "plainText", "prompt", "query", "input", "userMessage")
-_WHO = ("role", "from", "speaker", "author", "type")
-PROMPT_KEYS = ("prompt", "query", "input", "userMessage", "text", "title", "name")
-RESPONSE_KEYS = ("response", "answer", "assistantMessage", "output")
+_LISTS = tuple("messages conversation conversations bubbles chat composer turns items".split())
+_CONTENT = tuple("content text message value markdown rawText richText plainText prompt query input userMessage".split())
+_PAYLOADS, _KEYS = tuple("value data json payload state".split()), tuple("key name id itemKey item_key".split())
+_WHO = tuple("role from speaker author type".split())
+PROMPT_KEYS = tuple("prompt query input userMessage text title name".split())
+RESPONSE_KEYS = tuple("response answer assistantMessage output".split())
 COMPOSER_KEYS = ("composerId", "name", "status", "createdAt", "lastUpdatedAt", "modelConfig", "isAgentic", "unifiedMode")
 _MODEL_WORDS = ("claude", "gpt", "gemini", "llama", "qwen", "mistral", "deepseek", "grok", "sonnet", "opus", "haiku", "o1", "o3", "o4", "anthropic", "cursor")
 
@@ -38,7 +39,7 @@ def identifies(column: str) -> bool:
 
 
 def holds_payload(column: str) -> bool:
-    return _plain(column) in ("value", "data", "json", "payload", "state")
+    return _plain(column) in _PAYLOADS
 
 
 def has_chat_shape(value: Any) -> bool:
@@ -49,11 +50,11 @@ def has_chat_shape(value: Any) -> bool:
 
 
 def record_key(row: dict) -> str:
-    return next((text(row[k]) for k in ("key", "name", "id", "itemKey", "item_key") if text(row.get(k))), "")
+    return next((text(row[k]) for k in _KEYS if text(row.get(k))), "")
 
 
 def payload(row: dict) -> Any:
-    return next((row[k] for k in ("value", "data", "json", "payload", "state") if row.get(k) is not None), row)
+    return next((row[k] for k in _PAYLOADS if row.get(k) is not None), row)
 
 
 # text
@@ -71,7 +72,7 @@ def _node(v: Any) -> str:
     if kind in ("linebreak", "line-break"):
         return "\n"
     parts = [p for p in map(_node, v["children"] if isinstance(v.get("children"), list) else []) if p]
-    if kind in ("root", "list", "table", "tablebody", "tablerow"):
+    if kind in "list root table tablebody tablerow".split():
         return "\n".join(p.strip() for p in parts if p.strip())
     return "".join(parts).strip()
 
@@ -342,7 +343,7 @@ def record_row(row: dict, meta: dict) -> dict | None:
 def bubble_messages(header: dict, bubble: dict) -> list[dict]:
     """Up to two messages of one bubble: what was said or called, and what the tool gave."""
     kind = bubble.get("type", header.get("type"))
-    keys = ("text", "content", "message", "plainText", "rawText", "markdown") + (("richText", "prompt", "query", "input", "userMessage") if kind == 1 else ())
+    keys = "text content message plainText rawText markdown".split() + ("richText prompt query input userMessage".split() if kind == 1 else [])
     said = next((t for k in keys if (t := string_of(bubble.get(k)).strip())), "")
     if kind == 1:
         return [{"role": "user", "content": said}] if said else []

@@ -10,37 +10,56 @@ import re
 import string
 from typing import Any
 
-_EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9][\w.!#$%&'*+/=?^`{|}~-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?![\w.%+-])", re.ASCII)
-_HOME = re.compile(r"(?i)((?:[a-z]:)?[\\/]+(?:home|users)[\\/]+)([^\\/:\s\"'<>|]+)")
-_DASHED_HOME = re.compile(r"(?i)(?:(?<![a-z0-9])|(?<=\\n))(-(?:home|users)-)([a-z0-9._]+)(?=$|[-\\/\s\"'])")
+# what the patterns are made of; all are ASCII, \\w has no letters beyond it
+_AL, _ID, _SLASH = r"[^\W_]", r"[\w-]", r"[\\/]"
+_AFTER_ESCAPE = r"(?<=\\n)"
+
+
+def _re(pattern: str, flags: int = 0) -> re.Pattern:
+    return re.compile(pattern, re.ASCII | flags)
+
+
+def _fresh(before: str) -> str:
+    """A start that no character of the class precedes, but for the letter of an escaped line feed."""
+    return f"(?:(?<!{before})|{_AFTER_ESCAPE})"
+
+
+_EMAIL = _re(rf"(?<![\w.%+-])({_AL}[-\w.!#$%&'*+/=?^`{{|}}~]*@(?:{_AL}|[-.])+\.[a-zA-Z]{{2,}})(?![\w.%+-])")
+_HOME = _re(rf"((?:[a-z]:)?{_SLASH}+(?:users|home){_SLASH}+)([^:|<>\"'\s\\/]+)", re.I)
+_DASHED_HOME = _re(rf"{_fresh(_AL)}(-(?:users|home)-)([\w.]+)(?=[-\"'\s\\/]|$)", re.I)
 NO_PEOPLE = frozenset("root user users runner app admin ubuntu node shared public default username you your-username".split())
-RESERVED = frozenset(("example.com", "example.net", "example.org"))
-SERVICE = frozenset(("git@github.com", "git@gitlab.com", "git@bitbucket.org", "noreply@github.com"))
+RESERVED = frozenset(f"example.{x}" for x in ("org", "net", "com"))
+SERVICE = frozenset(["noreply@github.com", *(f"git@{h}" for h in ("bitbucket.org", "github.com", "gitlab.com"))])
 FILE_ENDS = frozenset("service socket timer mount png jpg jpeg gif svg js ts tsx jsx py rs go java md json yml yaml lock css html sh txt".split())
-_BODY = {"w": "[A-Za-z0-9]", "u": "[A-Za-z0-9_]", "d": "[A-Za-z0-9-]", "a": "[A-Za-z0-9_-]"}
+_BODY = {"w": _AL, "u": r"\w", "d": "(?:[^\\W_]|-)", "a": _ID}
 #: (prefix, body characters, least length)
-PREFIXES = (
-    ("sk-or-v1-", "a", 16), ("sk-ant-api03-", "a", 16), ("sk-proj-", "a", 16), ("sk-(?!or-v1-|ant-api03-|proj-)", "a", 20), ("hf_", "w", 20), ("gsk_", "w", 20), ("github_pat_", "u", 20),
-    ("gh[pousr]_", "u", 20), ("glpat-", "a", 20), ("lin_api_", "w", 20), ("npm_", "w", 20), ("pypi-", "a", 20), ("sk_(?:live|test)_", "w", 16), ("[rp]k_(?:live|test)_", "w", 16),
-    ("whsec_", "w", 16), ("re_", "w", 20), ("sq0(?:atp|csp)-", "a", 20), ("xox[baprs]-", "d", 20), ("AIza", "a", 20), ("GOCSPX-", "a", 20), ("ctx7sk-", "d", 20),
+PREFIXES = tuple(
+    (p, b, int(n)) for p, b, n in (x.split() for x in """
+    sk-or-v1- a 16;sk-ant-api03- a 16;sk-proj- a 16;sk-(?!proj-|or-v1-|ant-api03-) a 20;sk_(?:test|live)_ w 16;[rp]k_(?:test|live)_ w 16;hf_ w 20;gsk_ w 20;gh[oprsu]_ u 20;github_pat_ u 20
+    ;glpat- a 20;npm_ w 20;pypi- a 20;lin_api_ w 20;whsec_ w 16;re_ w 20;sq0(?:csp|atp)- a 20;xox[abprs]- d 20;AIza a 20;GOCSPX- a 20;ctx7sk- d 20""".split(";"))
 )
-_START = r"(?:(?<![A-Za-z0-9])|(?<=\\n))"
-_KEY = re.compile(
-    _START + "(?:" + "|".join([f"{p}{_BODY[b]}{{{n},}}" for p, b, n in PREFIXES] + ["A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", "SK[0-9a-fA-F]{32}(?![A-Za-z0-9])", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{20,}"]) + ")"
-)
-_PEM = re.compile(r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----")
-_PART = "[A-Za-z0-9_-]{10,}"
-_TOKEN = re.compile(rf"(?:(?<![A-Za-z0-9_-])|(?<=\\n))({_PART}\.[A-Za-z0-9_-]*\.{_PART}\.{_PART}\.{_PART}|{_PART}\.{_PART}\.{_PART})(?![A-Za-z0-9_-])")
-_BEARER = re.compile(r"(?i)(\bbearer\s+)([\w.~+/=-]{24,})", re.ASCII)
-_URL = re.compile(r"(?i)\b([a-z][a-z0-9+.-]{1,32}://[^:@/\s?#]*:)([^@\s/?#]+)(@)")
-_QUERY = re.compile(r"(?i)([?&]([\w.-]*(?:api[_-]?key|token|secret|password|signature|sig|access[_-]?key)[\w.-]*)=)([^&#\s\"'<>]+)", re.ASCII)
-_CONNECTION = re.compile(r"(?i)((?:^|[;,\s])(accountkey|sharedaccesskey|sharedaccesssignature|signature|password|pwd|accesskeyid|secretaccesskey|sig)=)([^;,\s]+)")
+_KEY = _re(_fresh(_AL) + "(?:" + "|".join([f"{p}{_BODY[b]}{{{n},}}" for p, b, n in PREFIXES] + [rf"A[KS]IA[A-Z\d]{{16}}(?!{_AL})", rf"SK[a-fA-F\d]{{32}}(?!{_AL})", rf"SG\.{_ID}{{16,}}\.{_ID}{{20,}}"]) + ")")
+_DASHES = "-" * 5
+_PEM = _re(rf"(?s){_DASHES}BEGIN [A-Z\d ]*PRIVATE KEY{_DASHES}.*?{_DASHES}END [A-Z\d ]*PRIVATE KEY{_DASHES}")
+_PART = _ID + "{10,}"
+_TOKEN = _re(rf"{_fresh(_ID)}({_PART}\.{_ID}*(?:\.{_PART}){{3}}|{_PART}(?:\.{_PART}){{2}})(?!{_ID})")
+_BEARER = _re(r"(\bbearer\s+)([-\w.~+/=]{24,})", re.I)
+_URL = _re(r"\b([a-z][-+.a-z\d]{1,32}://[^@:/?#\s]*:)([^@/?#\s]+)(@)", re.I)
+_QUERY = _re(r"([&?]([-\w.]*(?:access[-_]?key|api[-_]?key|password|secret|sig|signature|token)[-\w.]*)=)([^&#<>\"'\s]+)", re.I)
+_CONNECTION = _re(r"((?:^|[\s,;])(accesskeyid|accountkey|password|pwd|secretaccesskey|shared(?:accesskey|accesssignature)|sig|signature)=)([^\s,;]+)", re.I)
 # the name starts where no name character stands before it, so that long dashed runs are scanned once; quotes are told apart, not matched back
-_NAME = r"(?<![A-Za-z0-9_.-])([\"']?)([A-Za-z][A-Za-z0-9_.-]{1,120})\2[ \t]*[=:][ \t]*"
-_QUOTED = re.compile(rf"({_NAME})(?:\"((?:\\.|[^\"\\\r\n])*)\"|'((?:\\.|[^'\\\r\n])*)')")
-_BARE = re.compile(rf"({_NAME})([^\"'\s#]+)")
-_LONG = re.compile(r"((?<![A-Za-z0-9_-])([A-Za-z0-9][A-Za-z0-9_-]*)\b\\?[\"']?[^\S\r\n]*[:=][^\S\r\n]*\\?[\"']?)([A-Za-z0-9_~+/=-]{24,})")
-_GATE = ("pass", "pwd", "secret", "credential", "private", "token", "sig", "jwt", "key", "url", "uri", "dsn", "connection")
+_NAME = r"(?<![-\w.])([\"']?)([a-zA-Z][-\w.]{1,120})\2[ \t]*[:=][ \t]*"
+
+
+def _within(quote: str) -> str:
+    return rf"{quote}((?:[^{quote}\\\r\n]|\\.)*){quote}"
+
+
+_QUOTED = _re(f"({_NAME})(?:" + _within('"') + "|" + _within("'") + ")")
+_BARE = _re(rf"({_NAME})([^#\"'\s]+)")
+_BLANKS = r"[^\S\r\n]*"
+_LONG = _re(rf"((?<!{_ID})({_AL}{_ID}*)\b\\?[\"']?{_BLANKS}[=:]{_BLANKS}\\?[\"']?)([-\w~+/=]{{24,}})")
+_GATE = tuple("connection credential dsn jwt key pass private pwd secret sig token uri url".split())
 _WHOLE = frozenset(
     "access_token api_key apikey app_secret auth_token auth_secret aws_secret_access_key client_secret connection_string cookie_secret database_url db_url dsn encryption_key "
     "jwt_secret mongo_uri mongodb_uri mysql_url postgres_url postgresql_url private_key redis_url refresh_token secret secret_key sentry_dsn service_role_key session_secret "
@@ -48,18 +67,18 @@ _WHOLE = frozenset(
 )
 _HARMLESS = frozenset("count counts limit limits max min total usage input output prompt completion cached length size type name names path file id ids budget per num tokens tokenizer public".split())
 _KEY_WORDS = frozenset("access account admin anon api app auth aws azure bearer client csrf deploy encryption github google oauth openai personal private refresh secret service session signing user webhook".split())
+_PLAIN_WORDS = frozenset("credential credentials passwd password pwd secret".split())
 _STORES = frozenset("amqp broker database db mongo mongodb mysql postgres postgresql rabbitmq redis sentry smtp sql".split())
 _NOTHING = frozenset(("", "null", "none", "nil", "undefined", "true", "false", "0", "1", "n/a", "...", "***", "xxx", "changeme", "password", "secret", "token", "your-api-key", "redacted"))
-_PLACEHOLDER = re.compile(
-    r"(?is)<[^<>\r\n]{1,120}>|\$\{?[A-Z_][A-Z0-9_]*\}?|\{\{[^{}\r\n]{1,120}\}\}|(?:process\.env|os\.environ|getenv|env)\b.*|[*x.]{3,}"
-    r"|(?:your|insert|replace|example|sample|dummy|fake|test)[-_ .]*(?:api[-_ ]*)?(?:key|token|secret|password).*"
-)
-_PUBLIC = re.compile(
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}|(?:sha\d+:)?[0-9a-f]{7,128}"
-    r"|(?:call|chatcmpl|cmpl|event|msg|req|request|resp|run|session|step|task|tool|toolu|trace)[_-][a-z0-9_-]{8,}"
+_KINDS = "trace toolu tool task step session run response resp request req msg event cmpl chatcmpl call".split()
+_HEX = "[a-f\\d]"
+_PLACEHOLDER = _re(
+    r"<[^\r\n<>]{1,120}>|\{\{[^\r\n{}]{1,120}\}\}|\$\{?[A-Z_]\w*\}?|(?:getenv|env|os\.environ|process\.env)\b.*|[.*x]{3,}"
+    r"|(?:dummy|example|fake|insert|replace|sample|test|your)[ ._-]*(?:api[ _-]*)?(?:password|secret|token|key).*", re.I | re.S,
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/=\s]{256,}")
-_PROSE = frozenset(("analysis", "reasoning", "redacted_thinking", "text", "thinking"))
+_PUBLIC = _re(rf"{_HEX}{{8}}(?:-{_HEX}{{4}}){{3}}-{_HEX}{{12}}|(?:sha\d+:)?{_HEX}{{7,128}}|(?:{'|'.join(_KINDS)})[-_]{_ID}{{8,}}", re.I)
+_BASE64 = _re(r"(?:[^\W_]|[+/=\s]){256,}")
+_PROSE = frozenset("text thinking redacted_thinking reasoning analysis".split())
 _LETTERS = string.ascii_letters + string.digits
 
 
@@ -92,7 +111,7 @@ def looks_secret(value: str) -> bool:
         return False
     if is_token(v) or _URL.search(v) or _PEM.search(v) or _KEY.search(v):
         return True
-    if len(v) < 24 or _PUBLIC.fullmatch(v) or not re.fullmatch(r"[A-Za-z0-9_~+/=-]+", v):
+    if len(v) < 24 or _PUBLIC.fullmatch(v) or not _re(r"[-\w~+/=]+").fullmatch(v):
         return False
     return sum(bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[_~+/=-]")) >= 2
 
@@ -107,7 +126,7 @@ def is_sensitive(name: str, value: str) -> bool:
         return False
     if "connection_string" in whole:
         return len(value.strip()) >= 8 or looks_secret(value)
-    if w & {"password", "passwd", "pwd", "secret", "credential", "credentials"}:
+    if w & _PLAIN_WORDS:
         return True
     if "private" in w:
         return bool(w & {"key", "token"}) or _PEM.search(value) is not None

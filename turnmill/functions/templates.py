@@ -19,11 +19,11 @@ from typing import Any
 from .intervals import Cover, first_at, minus, union
 
 RESERVED = frozenset({"add_generation_prompt", "tokenize", "tools"})
+_ROLE_HEAD = "<|start_{0}|>assistant<|end_{0}|>".format
 OPENERS = (
-    "<|im_start|>assistant\n", "<|start_header_id|>assistant<|end_header_id|>\n\n", "<|start_header_id|>assistant<|end_header_id|>", "<start_of_turn>model\n",
-    "<|assistant|>\n", "<|assistant|>", "<assistant>", "<|start_of_role|>assistant<|end_of_role|>",
+    _ROLE_HEAD("header_id") + "\n\n", _ROLE_HEAD("header_id"), _ROLE_HEAD("of_role"), "<|im_start|>assistant\n", "<|assistant|>\n", "<|assistant|>", "<assistant>", "<start_of_turn>model\n",
 )
-CLOSERS = ("<|im_end|>", "<|eot_id|>", "<end_of_turn>", "</assistant>", "</s>", "<|end_of_text|>")
+CLOSERS = ("</s>", "</assistant>", *(f"<|{x}|>" for x in ("eot_id", "im_end", "end_of_text")), "<end_of_turn>")
 THINK_OPENERS = ("<think>\n", "<think>")
 _THOUGHT = re.compile(r"(?s)<think>\n.*?</think>\n\n?|<think>.*?</think>|<\|channel>thought\n.*?<channel\|>")
 _CALL = re.compile(r"(?s)<\|tool_call>.*?<tool_call\|>|<tool_call>.*?</tool_call>")

@@ -14,9 +14,9 @@ from typing import Any
 from . import values as V
 from .values import obj, objects, text
 
-LIFTED = (
-    "id", "schema_version", "provider", "source_system", "effort", "reasoning_capture", "auth", "completed_at", "duration_ms", "stop_reason", "request_id",
-    "message_id", "reported_cost_usd", "authorship", "family", "category", "domain", "capability", "subcategory", "mode", "difficulty", "source",
+LIFTED = tuple(
+    "auth authorship capability category completed_at difficulty domain duration_ms effort family id message_id mode provider reasoning_capture reported_cost_usd request_id "
+    "schema_version source source_system stop_reason subcategory".split()
 )
 _MESSAGE_KEYS = ("role", "content", "reasoning_content", "tool_calls", "tool_call_id", "name", "is_error")
 _STAMPS = ("timestamp", "created_at", "createdAt")
@@ -62,7 +62,7 @@ def _is_cursor(e: dict) -> bool:
 
 _BY_TYPE = {
     **dict.fromkeys(("session_meta", "turn_context", "response_item", "event_msg"), "codex"),
-    **dict.fromkeys(("session", "message", "session_info", "model_change", "thinking_level_change", "compaction", "branch_summary", "custom", "custom_message", "label"), "pi"),
+    **dict.fromkeys("branch_summary compaction custom custom_message label message model_change session session_info thinking_level_change".split(), "pi"),
     "hermes_session_meta": "hermes",
 }
 
@@ -628,10 +628,10 @@ def dialogue_events(dialogue: Any) -> list[dict]:
     return out
 
 
-_AGENT_META = (
-    "source", "model_provider", "configured_model_provider", "model", "configured_context_length", "cwd", "cli_version", "parent_session_id", "hermes_source", "message_count",
-    "tool_call_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "total_tokens", "estimated_cost_usd", "actual_cost_usd",
-    "total_cost", "cost_status", "cost_source", "billing_provider", "billing_base_url", "billing_mode", "system_prompt", "started_at", "ended_at", "end_reason", "api_call_count",
+_AGENT_META = tuple(
+    "actual_cost_usd api_call_count billing_base_url billing_mode billing_provider cache_read_tokens cache_write_tokens cli_version configured_context_length configured_model_provider "
+    "cost_source cost_status cwd end_reason ended_at estimated_cost_usd hermes_source input_tokens message_count model model_provider output_tokens parent_session_id reasoning_tokens source "
+    "started_at system_prompt tool_call_count total_cost total_tokens".split()
 )
 
 

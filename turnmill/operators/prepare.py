@@ -289,10 +289,10 @@ def _ddl(df: DataFrame) -> str:
 
 
 FORBIDDEN = (
-    "<|im_start|>user", "<|start_header_id|>user<|end_header_id|>", "<start_of_turn>user", "<|start_of_role|>user<|end_of_role|>", "<|turn>user", "<tool_response>", "</tool_response>",
-    "<|tool_response>", "<tool_response|>", "# Tools",
+    "# Tools", *(f"{a}tool_response{b}" for a, b in (("<", ">"), ("</", ">"), ("<|", ">"), ("<", "|>"))), "<|turn>user", "<start_of_turn>user",
+    *(f"<|start_{x}|>user<|end_{x}|>" for x in ("header_id", "of_role")), "<|im_start|>user",
 )
-USEFUL = ("<tool_call>", "<|tool_call>", "<tool_call|>", "</think>", "<|channel>thought", "<|im_end|>", "<turn|>")
+USEFUL = ("</think>", "<|channel>thought", *(f"{a}tool_call{b}" for a, b in (("<", ">"), ("<|", ">"), ("<", "|>"))), "<turn|>", "<|im_end|>")
 
 
 def audit_labels(masked: DataFrame, decode, sample_size: int | None = 8, order: str = "raw_index") -> DataFrame:

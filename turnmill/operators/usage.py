@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NUMBERS = (
-    "input", "prompt_tokens", "input_tokens", "output", "completion_tokens", "output_tokens", "reasoning", "reasoning_tokens", "reasoning_output_tokens", "cacheRead",
-    "cached_input_tokens", "cacheWrite", "totalTokens", "total_tokens",
+_NUMBERS = tuple(
+    "cacheRead cacheWrite cached_input_tokens completion_tokens input input_tokens output output_tokens prompt_tokens reasoning reasoning_output_tokens reasoning_tokens totalTokens total_tokens".split()
 )
 _DETAILS = "struct<cached_tokens:double,cache_write_tokens:double,reasoning_tokens:double>"
 USAGE = "struct<" + ",".join(f"{n}:double" for n in _NUMBERS) + f",prompt_tokens_details:{_DETAILS},output_tokens_details:{_DETAILS},completion_tokens_details:{_DETAILS},cost:string,generation_id:string,generation_ids:array<string>>"
@@ -18,7 +17,7 @@ EVENT = (
     f"payload:struct<type:string,model:string,model_provider:string,info:struct<total_token_usage:{USAGE},last_token_usage:{USAGE}>,{_SESSION}>,"
     f"message:struct<model:string,provider:string,usage:{USAGE}>>"
 )
-COUNTERS = ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens", "est_total_tokens")
+COUNTERS = tuple("input_tokens output_tokens reasoning_tokens cache_read_tokens cache_write_tokens total_tokens est_total_tokens".split())
 
 
 def first_used(*values: Column) -> Column:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COUNTERS = ("input_tokens", "output_tokens", "reasoning_tokens", "cache_read_tokens", "cache_write_tokens", "total_tokens", "est_total_tokens", "total_cost")
+COUNTERS = tuple("input_tokens output_tokens reasoning_tokens cache_read_tokens cache_write_tokens total_tokens est_total_tokens total_cost".split())
 
 
 def tail(path: str, offset: int, rest: str = "") -> tuple[list[dict], int, str]:
