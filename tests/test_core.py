@@ -152,6 +152,20 @@ def test_entry(spark, sf):
     assert set(e.oracle_sql()) <= set(e.queries()) and "pipeline" in e.queries() or "op1_toxicity" not in e.queries()
 
 
+def test_contained_conversations_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    convs = {i: [rng.choice("abc") for _ in range(rng.randint(1, 6))] for i in range(120)}
+    turns = spark.createDataFrame([(i, t, "user", x) for i, c in convs.items() for t, x in enumerate(c)], "conv_id int, turn int, role string, text string")
+
+    def inside(a, b):
+        return any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+
+    want = sorted(i for i, a in convs.items() if not any(j != i and inside(a, b) and (len(b) > len(a) or j < i) for j, b in convs.items()))
+    assert sorted(r.conv_id for r in M.dedupe_contained(turns).collect()) == want
+
+
 def plain_anonymize(text):
     """The rules of ``anonymize_text`` with Python's regular expressions."""
     import hashlib

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from turnmill.sources.jsonl import convert_traces, load_traces, read_prompts, scan_events, write_rows
+from turnmill.sources.jsonl import convert_rows, convert_traces, load_traces, read_prompts, scan_events, write_rows
 from turnmill.streaming.ingest import progress_totals, read_events
 
 
@@ -55,6 +55,15 @@ def test_conversion(spark, traces, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out").count() == 4
 
 
+def test_rows_by_line(spark, traces):
+    rows = traces + "/rows.jsonl"
+    got = sorted(r.prompt for r in convert_rows(spark, rows).collect())
+    assert got == sorted(r.prompt for r in convert_traces(spark, rows).collect()) and len(got) == 2
+    with pytest.raises(Exception, match="no training row"):
+        convert_rows(spark, traces).collect()
+    assert convert_rows(spark, traces, skip_invalid_lines=True).count() == 2
+
+
 def test_bad_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"type": "user", "sessionId": "s", "message": {"role": "user", "content": "hi"}}\nnot json\n')
     with pytest.raises(Exception, match="line 2"):

@@ -817,7 +817,7 @@ def normal_message(m: Any) -> dict | None:
     return out
 
 
-def structured_row(e: dict, stem: str = "rows", line: int = 1) -> dict:
+def structured_row(e: dict, stem: str = "rows", line: int | None = 1) -> dict:
     """A line that is a row already, with its messages normalized and known keys lifted into its metadata."""
     raw = e["messages"] if isinstance(e.get("messages"), list) else []
     messages, system = [m for m in map(normal_message, raw) if m], text(e.get("system")) or None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -340,10 +341,16 @@ def file_names(stems: list[str], fallback: str = "session") -> list[str]:
 def write_sessions(sessions: DataFrame, folder: str) -> None:
     """One JSONL file a row of (name, text) in a folder that executors share; names are unique already. Each task renames what it has written."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":" in folder else os.path.abspath(folder))
         for pdf in batches:
-            os.makedirs(folder, exist_ok=True)
+            system.create_dir(root, recursive=True)
             for name, body in zip(pdf["name"], pdf["text"]):
-                write_text(f"{folder}/{name}", body or "")
+                beside = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(beside) as f:
+                    f.write((body or "").encode())
+                system.move(beside, f"{root}/{name}")
             yield pd.DataFrame({"name": pdf["name"]})
 
     sessions.select("name", "text").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

@@ -65,21 +65,27 @@ def pending_prompts(prompt_rows: DataFrame, completed: DataFrame) -> DataFrame:
 def dedupe_contained(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns) without conversations whose turns are a contiguous part of another's; of equal ones the least id stays.
 
-    Candidates meet on the rarest turn of each conversation, not on its first,
-    which thousands may share; the parts are then compared by hash.
+    Equal conversations meet first, by a hash of all turns, so that copies make no
+    pairs. Of the rest candidates meet on the rarest pair of neighbouring turns of the
+    shorter one, and the parts are compared by hash. A conversation of one turn is
+    looked up among the turns of longer ones.
     """
     t = turns.select("conv_id", "turn", F.md5(F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).alias("sig"))
     seqs = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "sig"))).alias("s"))
     seqs = seqs.select("conv_id", F.transform("s", lambda x: x["sig"]).alias("sigs"), F.size("s").cast("bigint").alias("n_turns"))
-    places = seqs.select("conv_id", "n_turns", F.posexplode("sigs").alias("pos", "sig"))
+    seqs = seqs.groupBy(F.sha2(F.array_join("sigs", "|"), 256).alias("whole")).agg(F.min("conv_id").alias("conv_id"), F.any_value("sigs").alias("sigs"), F.any_value("n_turns").alias("n_turns")).drop("whole")
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n_turns").cast("int") - 1), lambda i: F.md5(F.concat(F.element_at("sigs", i), F.element_at("sigs", i + 1))))
+    places = seqs.where("n_turns > 1").select("conv_id", "n_turns", F.posexplode(pairs).alias("pos", "sig"))
     count = places.groupBy("sig").agg(F.count("*").alias("df"))
     rare = places.join(count, "sig").groupBy("conv_id").agg(F.min(F.struct("df", "pos", "sig")).alias("r"))
     short = seqs.join(rare, "conv_id").select(F.col("conv_id").alias("a"), F.col("sigs").alias("a_sigs"), F.col("n_turns").alias("a_n"), F.col("r.pos").alias("a_pos"), F.col("r.sig").alias("sig"), F.col("r.df").alias("df"))
     at = places.select(F.col("conv_id").alias("b"), F.col("n_turns").alias("b_n"), F.col("pos").alias("b_pos"), "sig")
-    pair = short.where("df > 1").join(at, "sig").where("b <> a AND b_pos >= a_pos AND (b_n > a_n OR (b_n = a_n AND b < a))")
+    pair = short.where("df > 1").join(at, "sig").where("b_pos >= a_pos AND b_n > a_n")
     whole = pair.join(seqs.select(F.col("conv_id").alias("b"), F.col("sigs").alias("b_sigs")), "b")
     gone = whole.where(F.slice("b_sigs", F.col("b_pos") - F.col("a_pos") + 1, F.col("a_n").cast("int")) == F.col("a_sigs")).select(F.col("a").alias("conv_id"))
-    return seqs.join(gone, "conv_id", "left_anti").select("conv_id", "n_turns")
+    longer = seqs.where("n_turns > 1").select(F.explode("sigs").alias("sig")).distinct()
+    single = seqs.where("n_turns = 1").select("conv_id", F.get("sigs", F.lit(0)).alias("sig")).join(longer, "sig", "left_semi").select("conv_id")
+    return seqs.join(gone.union(single), "conv_id", "left_anti").select("conv_id", "n_turns")
 
 
 def split_inline_thinking(turns: DataFrame) -> DataFrame:

@@ -447,6 +447,6 @@ def epoch_millis(spark, sf_dir):
 def scanned_lines(spark, sf_dir):
     """Lines of sessions as files, numbered without the blank ones."""
     path = scratch(spark, "sessions")
-    dataset.write_sessions(sessions(_t(spark, sf_dir, "conversations"), "codex").withColumnRenamed("source_file", "name").withColumn("text", F.concat("text", F.lit("\n\n"))), path.removeprefix("file://").removeprefix("file:"))
+    dataset.write_sessions(sessions(_t(spark, sf_dir, "conversations"), "codex").withColumnRenamed("source_file", "name").withColumn("text", F.concat("text", F.lit("\n\n"))), path)
     e = scan_events(spark, path)
     return e.groupBy(F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1).cast("bigint").alias("conv_id")).agg(F.max("line_no").cast("bigint").alias("lines"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.traces import convert_file, convert_single, stored_row
+from ..functions.traces import convert_file, convert_single, is_structured, stored_row, structured_row
 from ..schema import TRAIN_ROW
 
 SKIPPED = r"/(partials|failures)/"
@@ -95,6 +95,24 @@ def convert_texts(files: DataFrame, *, skip_invalid_lines: bool = False) -> Data
     return files.select("source_file", "text").mapInPandas(run, TRAIN_ROW)
 
 
+def convert_rows(spark: SparkSession, path: str, *, skip_invalid_lines: bool = False) -> DataFrame:
+    """The same for files that hold training rows only, split by line, so that one large file is many tasks' work. ``source_line`` is null, as a line's number isn't known."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, line in zip(pdf["source_file"], pdf["value"]):
+                for e in parse(line, skip_invalid_lines, name):
+                    if not is_structured(e):
+                        if skip_invalid_lines:
+                            continue
+                        raise ValueError(f"{name}: a line that is no training row")
+                    rows.append(stored_row(structured_row(e, _stem(name), None)) | {"source_file": name, "source_line": None})
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    return lines.where(~F.col("source_file").rlike(SKIPPED)).mapInPandas(run, TRAIN_ROW)
+
+
 def convert_trace(spark: SparkSession, path: str) -> dict:
     """The row of one file, on the driver; a file of several structured rows is an error."""
     text = spark.read.text(path, wholetext=True).first()
