@@ -450,3 +450,97 @@ def scanned_lines(spark, sf_dir):
     dataset.write_sessions(sessions(_t(spark, sf_dir, "conversations"), "codex").withColumnRenamed("source_file", "name").withColumn("text", F.concat("text", F.lit("\n\n"))), path)
     e = scan_events(spark, path)
     return e.groupBy(F.regexp_extract("source_file", r"(\d+)\.jsonl$", 1).cast("bigint").alias("conv_id")).agg(F.max("line_no").cast("bigint").alias("lines"))
+
+
+# resume, mixes, labels, progress
+
+
+@_query("""
+    WITH f AS (SELECT conv_id, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY conv_id),
+    u AS (SELECT c.conv_id, c.turn, c.text, lead(c.turn) OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS next FROM conversations c WHERE role = 'user'),
+    a AS (SELECT u.*, EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = u.conv_id AND x.role = 'assistant' AND x.turn > u.turn AND x.turn < coalesce(u.next, 1000000000)) AS answered FROM u)
+    SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) || '--- follow-up ---' || chr(10) || chr(10) ORDER BY turn)) AS resume_key FROM a GROUP BY conv_id HAVING bool_and(answered)
+""")
+def completed_prompts(spark, sf_dir):
+    """Keys of conversations whose every prompt is answered, by the predicates of a resumed run."""
+    import json
+
+    import pandas as pd
+
+    from ..functions.resume import completed_key
+    from ..functions.traces import template_messages
+
+    def run(batches):
+        for pdf in batches:
+            keys = [completed_key({"messages": template_messages(m)}) for m in pdf["messages"]]
+            yield pd.DataFrame({"conv_id": [int(json.loads(x)["id"]) for x in pdf["metadata"]], "key": keys})
+
+    rows = _plain_rows(_t(spark, sf_dir, "conversations")).select("messages", "metadata").mapInPandas(run, "conv_id bigint, key string")
+    return rows.where("key is not null").select("conv_id", F.md5("key").alias("resume_key"))
+
+
+@_query("""
+    WITH s AS (SELECT conv_id, arg_min(role, turn) = 'system' AS led FROM conversations GROUP BY conv_id), n AS (SELECT count(*) FILTER (WHERE NOT led) AS plain, count(*) FILTER (WHERE led) AS led FROM s)
+    SELECT source, rows FROM (SELECT 'plain' AS source, (CASE WHEN plain > led THEN led + 1 ELSE plain END)::BIGINT AS rows FROM n UNION ALL SELECT 'led', (CASE WHEN plain > led THEN led ELSE plain END)::BIGINT FROM n)
+""")
+def prepared_mix(spark, sf_dir):
+    """Prepared rows of two sources in equal parts: the ratio stays, the total shrinks to what both can fill."""
+    rows = _plain_rows(_t(spark, sf_dir, "conversations"))
+    led = F.get("messages", F.lit(0))["role"] == "system"
+    m = prepare.prepare_mix({"plain": {"source": rows.where(~led), "weight": 0.5}, "led": {"source": rows.where(led), "weight": 0.5}})
+    return m.groupBy(F.col("source_key").alias("source")).agg(F.count("*").alias("rows"))
+
+
+_STARTS = f"SELECT *, coalesce(sum(length({_SEG})) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 13 + length(role) AS s, sum(length({_SEG})) OVER (PARTITION BY conv_id) AS total FROM conversations"
+
+
+@_query(f"""
+    SELECT conv_id, least(total, 300)::BIGINT AS tokens, sum(greatest(0, least(s + length(text), 300) - s)) FILTER (WHERE role = 'assistant')::BIGINT AS first,
+           sum(greatest(0, s + length(text) - greatest(s, total - 300))) FILTER (WHERE role = 'assistant')::BIGINT AS last
+    FROM ({_STARTS}) GROUP BY conv_id, total HAVING bool_or(role = 'assistant')
+""")
+def truncated_labels(spark, sf_dir):
+    """Labels of rows cut to 300 tokens at either end."""
+    from ..operators import render
+
+    t = render.tokenize(render.render(_t(spark, sf_dir, "conversations")), render.CharTokenizer())
+    used = lambda d, name: d.select("conv_id", F.size("labels").cast("bigint").alias("tokens"), F.size(F.filter("labels", lambda x: x != render.IGNORED)).cast("bigint").alias(name))
+    return used(render.mask(t, max_length=300), "first").join(used(render.mask(t, max_length=300, keep_end=True), "last").drop("tokens"), "conv_id")
+
+
+@_query(f"SELECT sum({_KV})::BIGINT AS input_tokens, count(*)::BIGINT AS output_tokens, (sum({_KV}) + count(*))::BIGINT AS total_tokens FROM events")
+def merged_usage(spark, sf_dir):
+    """Usage of all sessions together."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    line = _json(type=F.lit("message"), message=_obj(usage=_obj(input=k, output=F.lit(1), totalTokens=k + 1)))
+    s = usage.session_usage(_t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_file"), F.col("event_id").alias("line_no"), line.alias("raw")))
+    return usage.merged_usage(s).select("input_tokens", "output_tokens", "total_tokens")
+
+
+@_query(f"""
+    WITH b AS (SELECT user_id, coalesce(max(event_id) FILTER (WHERE event_type = 'view'), -1) AS base, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id)
+    SELECT e.user_id::VARCHAR AS prompt_id, any_value(b.status) AS status, sum({_KV})::DOUBLE AS input_tokens FROM events e JOIN b USING (user_id) WHERE event_id >= base GROUP BY e.user_id
+""")
+def latest_progress(spark, sf_dir):
+    """Updates by key: a ``view`` states the counters anew, all others add to them."""
+    from ..streaming import progress
+
+    e = _t(spark, sf_dir, "events")
+    u = e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("prompt_id"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("started_at"), (F.col("event_type") != "view").alias("metrics_delta"),
+                 F.get_json_object("props", "$.k").cast("double").alias("input_tokens"), *[F.lit(None).cast("double").alias(c) for c in progress.COUNTERS[1:]])
+    return progress.latest_progress(u).select("prompt_id", "status", "input_tokens")
+
+
+@_query("""
+    SELECT count(*)::BIGINT AS prompts, sum(length(text))::BIGINT AS characters, sum(n)::BIGINT AS follow_ups FROM (
+        SELECT conv_id, arg_min(text, turn) AS text, count(*) - 1 AS n FROM conversations WHERE role = 'user' GROUP BY conv_id)
+""")
+def prompt_files(spark, sf_dir):
+    """Prompts written as JSONL and read back."""
+    from ..operators.messages import prompts
+    from ..sources.jsonl import read_prompts
+
+    path = scratch(spark, "prompts")
+    p = prompts(_t(spark, sf_dir, "conversations")).where("turn_count > 0")
+    p.select("prompt", "system", F.col("follow_ups").alias("follow_up_prompts")).write.json(path + "/p.jsonl")
+    return read_prompts(spark, path + "/p.jsonl").agg(F.count("*").alias("prompts"), F.sum(F.length("prompt")).cast("bigint").alias("characters"), F.sum(F.size("follow_up_prompts")).cast("bigint").alias("follow_ups"))
