@@ -43,7 +43,7 @@ def reply_nodes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     w = "(PARTITION BY conv ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     over = over.selectExpr("*", f"coalesce(sum(n) OVER {w}, 0) AS offset", "lag(last) OVER (PARTITION BY conv ORDER BY part) AS role_before")
     over = over.selectExpr("*", "CASE WHEN role_before <> first THEN offset - 1 END AS opens").selectExpr("*", "coalesce(offset + answers, opens) AS told")
-    over = over.selectExpr("conv AS c", "part AS p", "offset", f"coalesce(opens, last_value(told, true) OVER {w}) AS open")
+    over = materialize(over.selectExpr("conv AS c", "part AS p", "offset", f"coalesce(opens, last_value(told, true) OVER {w}) AS open"), "crossings")
     rows = at.join(F.broadcast(over), (F.col("conv") == F.col("c")) & (F.col("part") == F.col("p")), "left")  # two rows a partition
     return rows.selectExpr(
         "conv", "coalesce(offset, 0) + place AS node", "coalesce(coalesce(offset, 0) + before, open) AS parent", "role", "text",
