@@ -31,7 +31,7 @@ def test_recall_of_all_close_pairs(spark, sf01):
 
 
 def test_recall_by_distance(spark):
-    """Random pairs, with no chain to help: found as often as the choices of positions promise, near ones nearly always."""
+    """Random pairs of signatures alone, with no chain to help: all found, the far ones too."""
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, (4000, 4), dtype=np.uint64) * np.uint64(2)
     far = base.copy()
@@ -44,10 +44,39 @@ def test_recall_by_distance(spark):
     found = {(min(r.u, r.v), max(r.u, r.v)) for r in edges}
     assert all(b == a + 10_000 for a, b in found)
     got = np.array([(i, 10_000 + i) in found for i in range(4000)])
-    agree = S._nibbles(base) == S._nibbles(far)
-    assert (got == np.any([agree[:, p].all(1) for p in S.key_positions(64)], axis=0)).all()
-    for k, least in ((4, 1.0), (16, 0.99), (24, 0.96), (28, 0.9)):
-        assert got[distance == k].mean() >= least, (k, got[distance == k].mean())
+    assert got.all()
+
+
+def test_no_pair_at_the_limits_is_left_out(spark):
+    """Isolated pairs 44 bits apart that share 8 bytes of their sketches, in short lists and in one of all rows; none past a limit."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, (600, 8), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (600, 8), dtype=np.uint64)
+    base[:200].view(np.uint8)[:, [32, 33]] = 7  # two bytes that 400 rows share
+    far = base.copy()
+    for i in range(600):
+        for b in rng.choice(256, 45 if i % 3 == 1 else 44, replace=False):
+            far[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        free = np.arange(34, 64) if i < 200 else np.arange(32, 64)
+        other = rng.choice(free, 25 if i % 3 == 2 else 24, replace=False)
+        far[i].view(np.uint8)[other] ^= rng.integers(1, 256, len(other), dtype=np.uint8)
+    rows = [(i, base[i].tobytes()) for i in range(600)] + [(10_000 + i, far[i].tobytes()) for i in range(600)]
+    edges = S.similar_edges(spark.createDataFrame(rows, "sid bigint, sig binary").repartition(4), width=8).collect()
+    assert {(r.v, r.u) for r in edges} == {(i, 10_000 + i) for i in range(0, 600, 3)}
+
+
+def test_short_and_long_lists_join_what_their_pairs_join():
+    """Clusters, pairs and lone rows in lists of one key, on both sides of the limits for whole lists and for blocks of rows."""
+    rng = np.random.default_rng(6)
+    key = np.repeat(np.arange(6, dtype=np.uint64), (1, 2, 32, 33, 500, 3000))
+    sig = rng.integers(0, 2**63, (len(key), 4), dtype=np.uint64)
+    for i in rng.choice(np.arange(1, len(key)), 1500, replace=False):  # chains of rows 30 bits apart
+        sig[i] = sig[i - 1]
+        for b in rng.choice(256, 30, replace=False):
+            sig[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    mixed = rng.permutation(len(key))
+    u, v = S._forest(mixed, sig[mixed], key[mixed], 44)
+    want = components((a, b) for a, b in close_pairs(sig, 44) if key[a] == key[b])
+    assert len(want) > 2000 and components(zip(u.tolist(), v.tolist())) == want
 
 
 def test_guaranteed_minimum():

@@ -1,31 +1,26 @@
-"""SimHash near-dedup over a positional byte index with count filtering.
+"""SimHash near-dedup over a positional byte index with count filtering; no pair that qualifies is left out.
 
 A document's signature has 256 sign bits: each distinct word adds its 256 hash
-bits as +-1, weighted by the square root of its count. The bits are stored as
-POSITIONS bytes of 4 sign bits each. Two signatures that differ in at most
-``max_bits`` bits differ in at most ``max_bits`` bytes, so they share at least
-POSITIONS - max_bits positional bytes: that is the guaranteed minimum.
-
-(Bytes of 8 sign bits give a guarantee only if max_bits < 32, 12 % of the bits;
-documents whose words were edited at 5 to 10 % differ in 10 to 15 %.)
-
-Index: ``tables`` seeded choices of KEY_BYTES positions; a posting list holds the
-signatures that agree in all bytes of a choice, 24 bits. Inside a list the shared
-bytes of every pair are tallied, pairs under the guaranteed minimum go, the rest
-are verified by Hamming distance and by their shingles: long texts of one language
-share the common words that make up a signature, whatever they say. A text's sketch
-has for each of SKETCH seeded orders one byte of its least run of SHINGLE words, so
-the share of equal bytes estimates the Jaccard similarity of the runs; a pair needs
-AGREE equal bytes, about a quarter. Texts of the same words in another order are
-therefore no near duplicates. A list emits a spanning forest of its verified
-pairs, which has the same components as all of them. With the default 64 tables recall
-of the pairs in the given tables is over 0.9, and over 0.99 as groups join them
-(tests/llm/test_simhash.py); of isolated pairs that differ in all of 44 bits two
-in five meet in a list.
+bits as +-1, weighted by the square root of its count. Long texts of one language
+share the common words that make up a signature, whatever they say, so a text also
+has a sketch: for each of SKETCH seeded orders one byte of its least run of SHINGLE
+words. The share of equal bytes estimates the Jaccard similarity of the runs. Two
+texts are near duplicates if their signatures differ in at most ``max_bits`` bits
+and their sketches agree in AGREE bytes at least, about a quarter. Texts of the same
+words in another order are therefore no near duplicates.
+
+Index: the SKETCH positions are dealt into AGREE - 1 sets, so AGREE equal bytes, the
+guaranteed minimum, have two in one set. A posting list for each two positions of one
+set, 58 in all, holds the signatures that agree in both bytes, 16 bits; every pair
+that qualifies meets in a list. Inside a list pairs are verified by Hamming distance
+and by tallying the bytes they share. A long list emits a spanning forest of its
+verified pairs, which has the same components as all of them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +30,10 @@ from pyspark.sql import functions as F
 from ._spark import col, components, free, materialize, small
 from ._text import Words, chunks, doc_terms, mix64
 
-BITS, POSITIONS, KEY_BYTES = 256, 64, 6
+BITS = 256
 SHINGLE, SKETCH, AGREE = 3, 32, 8
+#: Lists up to SHORT are compared pair by pair, PAIRS pairs at once.
+SHORT, PAIRS = 32, 1 << 16
 _SEEDS = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ORDERS = np.random.Generator(np.random.PCG64(11)).integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -89,28 +86,17 @@ def signatures_and_sketches(arr: pa.Array) -> np.ndarray:
     return out
 
 
-def key_positions(tables: int) -> np.ndarray:
-    """(tables, KEY_BYTES) positions out of POSITIONS."""
-    rng = np.random.Generator(np.random.PCG64(7))
-    return np.array([np.sort(rng.choice(POSITIONS, KEY_BYTES, replace=False)) for _ in range(tables)])
-
-
-def _nibbles(sig: np.ndarray) -> np.ndarray:
-    b = np.ascontiguousarray(sig).view(np.uint8)
-    return np.stack((b >> 4, b & 15), axis=2).reshape(len(sig), POSITIONS)
+def key_positions() -> list[tuple[int, ...]]:
+    """Two positions of a sketch each, so that any AGREE positions hold one of them."""
+    return [two for part in np.array_split(np.arange(SKETCH), AGREE - 1) for two in combinations(part.tolist(), 2)]
 
 
 def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Tally the positional bytes that each pair shares, drop pairs under the minimum, verify the rest.
+    """Which rows of a and b are within ``max_bits`` and share enough bytes of their sketches.
 
     Rows are signatures, or signatures and sketches.
     """
-    x = a[:, :4] ^ b[..., :4]
-    low = np.uint64(0x1111111111111111)
-    differ = x | (x >> np.uint64(1))
-    differ |= differ >> np.uint64(2)
-    ok = POSITIONS - np.bitwise_count(differ & low).sum(1, dtype=np.int64) >= POSITIONS - max_bits
-    ok[ok] = np.bitwise_count(x[ok]).sum(1, dtype=np.int64) <= max_bits
+    ok = np.bitwise_count(a[:, :4] ^ b[..., :4]).sum(1, dtype=np.int64) <= max_bits
     if a.shape[1] > 4 and ok.any():
         left, right = np.broadcast_arrays(a[:, 4:], b[..., 4:])
         ok[ok] = ((left[ok] ^ right[ok]).view(np.uint8) == 0).sum(1) >= AGREE
@@ -124,35 +110,49 @@ def _forest(sid: np.ndarray, sig: np.ndarray, key: np.ndarray, max_bits: int) ->
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
     us, vs = [], []
-    for n in range(2, 9):  # short lists: all pairs, many lists at once
-        s = at[size == n]
-        for i in range(n):
-            for j in range(i + 1, n):
-                ok = _close(sig[s + i], sig[s + j], max_bits)
-                us.append(sid[(s + i)[ok]])
-                vs.append(sid[(s + j)[ok]])
-    for s, n in zip(at[size > 8], size[size > 8]):  # long lists: breadth first over what is not reached yet
+
+    # short lists: each row with those after it in its list, many lists at once
+    end = np.repeat(at + size, size)
+    row = np.flatnonzero(np.repeat(size <= SHORT, size))
+    after = end[row] - row - 1
+    total = np.cumsum(after)
+    for k in range(0, int(total[-1]) if len(total) else 0, PAIRS):
+        i, j = np.searchsorted(total, (k, k + PAIRS), "right")
+        a = np.repeat(row[i:j], after[i:j])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[i:j]) - after[i:j], after[i:j])
+        ok = _close(sig[a], sig[b], max_bits)
+        us.append(sid[a[ok]])
+        vs.append(sid[b[ok]])
+    for s, n in zip(at[size > SHORT], size[size > SHORT]):  # long lists: rows close to none go many at once, from others breadth first
         left = np.arange(s, s + n)
         while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                ok = _close(sig[left], sig[x], max_bits)
-                if ok.any():
-                    got, left = left[ok], left[~ok]
-                    us.append(np.full(len(got), sid[x]))
-                    vs.append(sid[got])
-                    queue.extend(got)
+            head = left[: max(1, min(64, PAIRS // len(left)))]
+            met = _close(np.repeat(sig[head], len(left), axis=0), np.tile(sig[left], (len(head), 1)), max_bits).reshape(len(head), -1).sum(1) > 1
+            left = np.concatenate((head[met], left[len(head) :]))  # in order; a row is close to itself
+            for x in head[met]:
+                i = np.searchsorted(left, x)
+                if i == len(left) or left[i] != x:
+                    continue
+                queue, left = [x], np.delete(left, i)
+                while queue and len(left):
+                    x = queue.pop()
+                    ok = _close(sig[left], sig[x], max_bits)
+                    if ok.any():
+                        got, left = left[ok], left[~ok]
+                        us.append(np.full(len(got), sid[x]))
+                        vs.append(sid[got])
+                        queue.extend(got)
     z = [np.zeros(0, np.int64)]
     return np.concatenate(us + z), np.concatenate(vs + z)
 
 
-def similar_edges(sigs: DataFrame, max_bits: int = 44, tables: int = 64, count: int | None = None, width: int = 4) -> DataFrame:
-    """Edges (u, v) over distinct signatures (sid BIGINT, sig BINARY) whose components are those of all found pairs.
+def similar_edges(sigs: DataFrame, max_bits: int = 44, count: int | None = None, width: int = 4) -> DataFrame:
+    """Edges (u, v) over distinct signatures (sid BIGINT, sig BINARY) whose components are those of all pairs that qualify.
 
-    ``width`` is the length of ``sig`` in 8-byte words: 4, or 8 with sketches.
+    ``width`` is the length of ``sig`` in 8-byte words: 8 with sketches, or 4. Without
+    sketches there is nothing to index by: one task compares all pairs.
     """
-    picks = key_positions(tables)
+    picks = key_positions() if width > 4 else [()]
     # a bucket holds about 64k postings, whatever the size of the corpus
     per_table = max(1, (sigs.count() if count is None else count) // 65536)
     mult = np.uint64(0x9E3779B97F4A7C15)
@@ -163,11 +163,11 @@ def similar_edges(sigs: DataFrame, max_bits: int = 44, tables: int = 64, count:
             if not len(sid):
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, width)
-            nib = _nibbles(sig[:, :4])
+            sketch = np.ascontiguousarray(sig[:, 4:]).view(np.uint8)
             rows = np.concatenate((sid.view(np.uint64)[:, None], sig), axis=1)
             for t, pick in enumerate(picks):
                 bucket, blob = [], []
-                key = _pack(nib[:, pick])
+                key = _pack(sketch[:, pick])
                 part = (((key * mult) >> np.uint64(33)) % np.uint64(per_table)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edge = np.searchsorted(part[order], np.arange(per_table + 1)) if per_table > 1 else np.array([0, len(part)])
@@ -179,7 +179,7 @@ def similar_edges(sigs: DataFrame, max_bits: int = 44, tables: int = 64, count:
     def compare(keys, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(pdf["rows"]), np.uint64).reshape(-1, width + 1)
         sid, sig = np.ascontiguousarray(rows[:, 0]).view(np.int64), np.ascontiguousarray(rows[:, 1:])
-        key = _pack(_nibbles(sig[:, :4])[:, picks[int(keys[0]) // per_table]])
+        key = _pack(np.ascontiguousarray(sig[:, 4:]).view(np.uint8)[:, picks[int(keys[0]) // per_table]])
         u, v = _forest(sid, sig, key, max_bits)
         e = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1), axis=0)
         return pd.DataFrame({"u": e[:, 0], "v": e[:, 1]})
@@ -187,28 +187,27 @@ def similar_edges(sigs: DataFrame, max_bits: int = 44, tables: int = 64, count:
     return sigs.select("sid", "sig").mapInArrow(post, "bucket bigint, rows binary").groupBy("bucket").applyInPandas(compare, "u bigint, v bigint")
 
 
-def _pack(nib: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(nib), np.uint64)
-    for k in range(nib.shape[1]):
-        key = (key << np.uint64(4)) | nib[:, k].astype(np.uint64)
+def _pack(byte: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(byte), np.uint64)
+    for k in range(byte.shape[1]):
+        key = (key << np.uint64(8)) | byte[:, k].astype(np.uint64)
     return key
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 44, tables: int = 64) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 44) -> DataFrame:
     """(id, th, rows, root, keep) for every row key (id, hash of text) of a near-duplicate group of two rows or more.
 
     ``keep`` marks the row key with the least id of its group, ``rows`` how many rows have that key.
-    Signatures go by a hash; one whose hash is another's, by a second hash, is in no group.
     """
     make = F.arrow_udf(_sig_udf, "binary")
     rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"), make(col(text_col)).alias("sig"))
     rows = materialize(rows.where("id is not null and sig is not null"), "signatures")
-    sid, second = F.xxhash64("sig"), F.xxhash64(F.lit(1), "sig")
-    keys = rows.groupBy(sid.alias("sid"), second.alias("second"), "id", "th").agg(F.count("*").alias("rows"), F.any_value("sig").alias("sig"))
-    sigs = materialize(keys.groupBy("sid").agg(F.min("sig").alias("sig"), F.sum("rows").alias("n")), "distinct-signatures")
-    comp = materialize(components(similar_edges(sigs, max_bits, tables, width=8)), "components")
+    keys = rows.groupBy("sig", "id", "th").agg(F.count("*").alias("rows"))
+    sigs = keys.groupBy("sig").agg(F.sum("rows").alias("n")).withColumn("sid", F.monotonically_increasing_id())
+    sigs = materialize(sigs, "distinct-signatures")
+    comp = materialize(components(similar_edges(sigs, max_bits, width=8)), "components")
     # groups: joined signatures, and single ones that several rows have
-    of = keys.join(sigs.select("sid", second.alias("second"), "n"), ["sid", "second"]).join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+    of = keys.join(sigs, "sig").join(comp.withColumnRenamed("node", "sid"), "sid", "left")
     of = of.where("root is not null or n > 1").select("id", "th", "rows", F.coalesce("root", "sid").alias("root"))
     of = materialize(of, "members")
     best = of.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best"))
@@ -225,7 +224,7 @@ def _sig_udf(text: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sig), [valid, pa.py_buffer(offsets), pa.py_buffer(body)])
 
 
-def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 44, tables: int = 64) -> DataFrame:
+def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 44) -> DataFrame:
     """The documents without near duplicates: of each group the row with the least id stays. Columns are unchanged.
 
     Groups are connected components of pairs close in signature and in shingles. Texts without a word (null, empty, only
@@ -234,7 +233,7 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     through without a shuffle. An empty table gives an empty table.
     """
     groups = materialize(
-        near_groups(docs, id_col=id_col, text_col=text_col, max_bits=max_bits, tables=tables).select("id", "th", "keep", "rows"), "groups"
+        near_groups(docs, id_col=id_col, text_col=text_col, max_bits=max_bits).select("id", "th", "keep", "rows"), "groups"
     )
     n = groups.count()
     g_id, g_th, g_keep, g_rows, th = free(docs, "gid", "gth", "keep", "rows", "th")
