@@ -22,34 +22,64 @@ def test_recall_on_the_given_table(spark, sf01):
     assert all(got[i].group_id == want.get(i, i) and got[i].keep == (want.get(i, i) == i) for i in ids)
 
 
-def recall(spark, pairs, df, **how):
-    found = components((r.u, r.v) for r in verified(similar_vectors(df, **how), df, 0.95).collect())
-    return np.mean([a in found and found.get(a) == found.get(b) for a, b in pairs]), found
-
-
-def test_recall_through_splits(spark):
-    """Small nodes and leaves, so that the upper and the lower splits both work; and all split values but the first few joined."""
+def test_no_pair_is_left_out_in_any_number_of_blocks(spark):
+    """Pairs with no chain to help, close and just at the threshold: all are joined, and nothing else, however the work is dealt."""
     rng = np.random.default_rng(5)
     base = rng.normal(size=(1500, 32))
     x = np.concatenate((base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.3, (1500, 1)))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>").repartition(4)
     pairs = close(x, 0.95)
-    hit, found = recall(spark, pairs, df, node_rows=500, leaf=100)
-    assert len(pairs) > 1000 and hit >= 0.9, hit
-    true = components(pairs)
-    assert all(true.get(k) == true.get(v) for k, v in found.items())  # nothing joined that is not close
-    assert recall(spark, pairs, df, node_rows=500, leaf=100, broadcast_nodes=0)[1] == found
+    assert len(pairs) > 1000
+    for how in ({}, {"blocks": 1}, {"blocks": 5}):
+        assert components((r.u, r.v) for r in verified(similar_vectors(df, **how), df, 0.95).collect()) == components(pairs)
+
+
+def test_rows_added_don_t_part_what_is_joined(spark):
+    """Isolated pairs just over the threshold, alone and beside a crowd of 6,000 vectors."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(1000, 16)), rng.normal(size=(1000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    pairs = np.stack((a, 0.951 * a + np.sqrt(1 - 0.951**2) * b), axis=1).reshape(2000, 16)
+    c = rng.normal(size=16)
+    x = np.concatenate((pairs, c / np.linalg.norm(c) + rng.normal(size=(6000, 16)) * 0.003)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for n in (2000, 8000):
+        got = embedding_groups(spark.createDataFrame(rows[:n], "vec_id bigint, embedding array<float>")).collect()
+        assert [r.group_id for r in sorted(got) if r.vec_id < 2000] == [i // 2 * 2 for i in range(2000)], n
+
+
+def test_tiles_join_what_their_pairs_join():
+    """A cluster, chains and lone vectors, in a block with itself and with another; a forest joins the cluster."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 24))
+    x[:300] = x[0] + rng.normal(size=(300, 24)) * 0.05
+    for i in range(301, 600, 2):
+        x[i] = x[i - 1] + rng.normal(size=24) * 0.2
+    x = x[rng.permutation(900)].astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    records = E.rounded(np.arange(900), x)
+    for one, two, among in ((records, None, lambda a, b: True), (records[:350], records[350:], lambda a, b: a < 350 <= b)):
+        e = E.compare_blocks(one, two, 0.95, tile=100)
+        assert e.sure.sum() < 900
+        reach = e.sure | ((x[e.u] * x[e.v]).sum(axis=1) >= 0.95)
+        assert components(zip(e.u[reach].tolist(), e.v[reach].tolist())) == components(p for p in close(x, 0.95) if among(*p))
 
 
-def test_levels_beyond_the_last_do_not_multiply_rows(spark, monkeypatch):
-    """Seven levels: what reaches the nodes is bounded by the spill of the last ones."""
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 8)).astype(np.float32))], "id bigint, vec array<float>")
-    sent = []
-    kept = E.materialize
-    monkeypatch.setattr(E, "materialize", lambda d, name, *a: (lambda m: (sent.append((name, m.count())), m)[1])(kept(d, name, *a)))
-    similar_vectors(df, node_rows=40, trees=1, broadcast_nodes=8).count()
-    assert max(k for name, k in sent if name == "nodes") < 4000 * 2
+def test_a_near_copy_has_links_of_its_own(spark):
+    """The third vector reaches the second, but not the first, which the second all but equals."""
+    t, d = np.arccos(0.95 - 5e-6), 3.2e-5
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in ((1, 0.0), (2, d), (3, t))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    assert {r.group_id for r in embedding_groups(df).collect()} == {1}
+    assert sorted(r.group_id for r in embedding_groups(df.where("vec_id <> 2")).collect()) == [1, 3]
+
+
+def test_vectors_of_any_length_are_compared(spark):
+    rows = [(1, [1e-38, 2e-38]), (2, [1e30, 2.05e30]), (3, [1.0, 2.1]), (4, [1e30, -1e30])]
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted(r.group_id for r in got) == [1, 1, 1, 4]
 
 
 def test_rounding_error_is_bounded():
@@ -80,13 +110,13 @@ def test_pairs_within_the_error_are_compared_again(spark):
 
 def test_copies_and_scaled_copies_are_one_vector(spark):
     rows = [(i, [1.0 * (i + 1), 2.0 * (i + 1), 0.5 * (i + 1)]) for i in range(500)] + [(600, [0.0, 1.0, -3.0])]
-    got = embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), trees=1).collect()
+    got = embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     assert {(r.group_id, r.keep) for r in got if r.vec_id < 600} == {(0, True), (0, False)} and sum(r.keep for r in got) == 2
 
 
 def test_many_equal_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(1200)] + [(5000, [-1.0, 0.5, 0.0])], "vec_id bigint, embedding array<float>")
-    got = embedding_groups(df, trees=2).collect()
+    got = embedding_groups(df).collect()
     assert sum(r.keep for r in got) == 2 and {r.group_id for r in got} == {0, 5000}
 
 

@@ -1,29 +1,19 @@
-"""Embedding near-dedup by a forest of random-projection trees with spill.
+"""Embedding near-dedup by comparing all pairs of vectors; no pair at or over the threshold is left out.
 
-Rows of the same direction, to a 4096th of the greatest element, are linked first
-and searched as one vector, so that copies don't fill a node. Each tree splits its
-vectors along a random direction at the median. The upper levels split all vectors
-where they lie: a level takes one aggregate of quantiles a node, and no vector
-moves. Once nodes are down to NODE vectors, one shuffle brings each node's vectors
-together; the task goes on splitting down to LEAF and compares within leaves by
-cosine. The verified pairs of all trees are united into groups.
-
-Spill: vectors within ``SPILL`` of the median, by rank, go to both sides in a task
-and in the last SPILL_LEVELS levels above it, so that what is shuffled doesn't grow
-with the number of levels.
+Rows of equal vectors are linked first and searched as one. The others are dealt into
+blocks by a hash of their id, and a task for each two blocks compares their vectors
+by cosine, as matrix products. How many blocks there are decides what a task does,
+not what is found. The verified pairs are united into groups.
 
 A vector travels as one signed byte an element, with the length of the error that
-makes. A leaf's cosines are therefore known to within twice the greatest error in
-it: pairs surely at or over the threshold are edges, pairs within the error are
-compared once more on the vectors themselves. A leaf emits a spanning forest of its
-sure pairs, which joins the same vectors as all of them, and every unsure pair that
-the forest doesn't join. Recall against all pairs is over 0.9 (tests/llm).
+makes. Cosines are therefore known to within the errors of both sides: pairs surely
+at or over the threshold are edges, pairs within the error are compared once more on
+the vectors themselves. A task emits a spanning forest of its sure pairs, which joins
+the same vectors as all of them, and every unsure pair that the forest doesn't join.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,32 +23,25 @@ from pyspark.sql import functions as F
 from ._spark import col, components, materialize, small
 from ._text import mix64
 
-THRESHOLD, TREES, SPILL, SPILL_LEVELS, NODE, LEAF = 0.95, 8, 0.1, 2, 20_000, 200
-#: Split values are sent to tasks up to this many; further levels are joined to them.
-BROADCAST_NODES = 100_000
-#: Up to this threshold vectors of the same rounded direction are surely near duplicates.
-ROUNDED = 0.999
-
-
-def direction(tree: int, level: int, size: int) -> np.ndarray:
-    """The random direction of a level of a tree, the same wherever it is computed."""
-    d = np.random.Generator(np.random.PCG64([11, tree, level])).standard_normal(size)
-    return (d / np.linalg.norm(d)).astype(np.float32)
+THRESHOLD = 0.95
+#: A block has at most BLOCK_BYTES elements, and about BLOCK_ROWS vectors as long as there are fewer than BLOCKS blocks.
+BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 1 << 23, 2048, 8
+#: Vectors of either side of a matrix product.
+TILE = 1024
 
 
 def unit(batch: pa.Array) -> np.ndarray:
-    """Unit vectors of a list array of one size without nulls."""
+    """Unit vectors of a list array of one size without nulls; of any length that a float can tell."""
     x = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1), np.float32)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), np.float32(1e-45))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def _direction_keys(vec: pa.Array, rounding: bool) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that tell directions apart: hashes of the vectors, or of their elements in 4096ths of the greatest one."""
+def _vector_keys(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell vectors apart."""
     if not len(vec):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vec), -1)
-    if rounding:
-        x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * np.float32(4096))
     bits = (x + np.float32(0)).view(np.uint32).astype(np.uint64)  # no negative zero
     odd = np.random.Generator(np.random.PCG64(17)).integers(0, 2**63, (2, x.shape[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return tuple(mix64((mix64(bits + k) * o).sum(axis=1, dtype=np.uint64)).view(np.int64) for k, o in zip(odd[:, 0], odd))
@@ -84,200 +67,96 @@ def restored(records: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """Edges found in a node: sure ones, and those to be compared on the vectors themselves."""
+    """Edges found among the records of two blocks: sure ones, and those to be compared on the vectors themselves."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, error: np.ndarray, threshold: float):
-        self.ids, self.x, self.error, self.threshold = ids, x, error, threshold
+    def __init__(self, records: np.ndarray, threshold: float):
+        self.ids, self.x, self.error, self.threshold = records["id"], restored(records), records["error"], threshold
+        self.parent = np.arange(len(records))
         self.sure: list[np.ndarray] = []
         self.unsure: list[np.ndarray] = []
 
-    def band(self, at: np.ndarray) -> float:
-        e = float(self.error[at].max())
-        return 2 * e + e * e + 1e-6
-
-    def add(self, to: list, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            to.append(np.stack((self.ids[a], self.ids[b])))
-
-    def leaf(self, at: np.ndarray) -> None:
-        """All pairs of a leaf: a spanning forest of the sure ones, and what it leaves open."""
-        cos, band = self.x[at] @ self.x[at].T, self.band(at)
-        close = cos >= self.threshold + band
-        left, root = np.ones(len(at), bool), np.arange(len(at))
-        for i in np.flatnonzero(close.sum(axis=1) > 1):
-            if not left[i]:
-                continue
-            left[i], queue = False, [i]
-            while queue:
-                k = queue.pop()
-                got = np.flatnonzero(close[k] & left)
-                left[got], root[got] = False, i
-                self.add(self.sure, np.full(len(got), at[k]), at[got])
-                queue.extend(got)
-        a, b = np.nonzero(np.triu((cos >= self.threshold - band) & ~close, 1))
-        open_ = root[a] != root[b]
-        self.add(self.unsure, at[a[open_]], at[b[open_]])
-
-    def many(self, at: np.ndarray) -> None:
-        """The same for vectors that no split parts: compared with those not reached yet."""
-        band, left = self.band(at), at
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                k = queue.pop()
-                cos = self.x[left] @ self.x[k]
-                ok = cos >= self.threshold + band
-                maybe = left[(cos >= self.threshold - band) & ~ok]
-                self.add(self.unsure, np.full(len(maybe), k), maybe)
-                got, left = left[ok], left[~ok]
-                self.add(self.sure, np.full(len(got), k), got)
-                queue.extend(got)
-
-
-def split_and_compare(pairs: Pairs, rng: np.random.Generator, leaf: int = LEAF, spill: float = SPILL) -> Pairs:
-    """Search one node by further random splits down to ``leaf`` vectors."""
-    todo = [(np.arange(len(pairs.ids)), 0)]
-    while todo:
-        at, failed = todo.pop()
-        if len(at) <= leaf:
-            pairs.leaf(at)
-            continue
-        p = pairs.x[at] @ rng.standard_normal(pairs.x.shape[1]).astype(np.float32)
-        low, high = np.quantile(p, (0.5 - spill, 0.5 + spill))
-        one, two = at[p <= high], at[p >= low]
-        if max(len(one), len(two)) < len(at):
-            todo += [(one, 0), (two, 0)]
-        elif failed < 4:
-            todo.append((at, failed + 1))
-        else:
-            pairs.many(at)
-    return pairs
-
-
-def _codes(x: np.ndarray, tree: int, cuts: list[dict[int, tuple[float, float]]], spill_row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Walk vectors down the levels; (row, node) with a row once for each side it goes to."""
-    for level, cut in enumerate(cuts):
-        keys = np.fromiter(cut, np.int64, len(cut))
-        order = np.argsort(keys)
-        keys, bounds = keys[order], np.array(list(cut.values()), float).reshape(-1, 2)[order]
-        k = np.minimum(np.searchsorted(keys, node), max(len(keys) - 1, 0))
-        inner = keys[k] == node if len(keys) else np.zeros(len(node), bool)
-        p = x[spill_row] @ direction(tree, level, x.shape[1])
-        left = inner & (p <= bounds[k, 1]) if len(keys) else inner
-        right = inner & (p >= bounds[k, 0]) if len(keys) else inner
-        spill_row = np.concatenate((spill_row[~inner], spill_row[left], spill_row[right]))
-        node = np.concatenate((node[~inner], node[left] * 2, node[right] * 2 + 1))
-    return spill_row, node
-
-
-def _blobs(tree: np.ndarray, node: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """One row for each (tree, node) of a batch with all its records."""
-    order = np.lexsort((node, tree))
-    tree, node, records = tree[order], node[order], records[order]
-    new = np.ones(len(tree), bool)
-    new[1:] = (tree[1:] != tree[:-1]) | (node[1:] != node[:-1])
-    at = np.flatnonzero(new)
-    edge = np.append(at, len(tree))
-    data = [records[edge[i] : edge[i + 1]].tobytes() for i in range(len(at))]
-    return pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(node[at], pa.int64()), pa.array(data, pa.binary()), pa.array(np.full(len(at), records["q"].shape[1], np.int32))], ["tree", "node", "records", "size"])
-
-
-def _splits(at: DataFrame, node_rows: int, spill: float) -> DataFrame:
-    """(tree, node, a, b) of the nodes of (tree, node, p) that are too large: up to b goes left, from a goes right."""
-    per = at.groupBy("tree", "node").agg(  # quantiles to a ten thousandth by rank
-        F.count("*").alias("n"), F.percentile_approx("p", [0.5 - spill, 0.5 + spill], 10000).alias("q"), F.min("p").alias("lo"), F.max("p").alias("hi"),
-    )
-    return per.where((F.col("n") > node_rows) & ~((F.col("q")[0] <= F.col("lo")) & (F.col("q")[1] >= F.col("hi")))).select("tree", "node", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
-
-
-def similar_vectors(
-    vectors: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, node_rows: int = NODE, leaf: int = LEAF, spill: float = SPILL,
-    broadcast_nodes: int = BROADCAST_NODES,
-) -> DataFrame:
-    """Edges (u, v, sure) over (id BIGINT, vec ARRAY<FLOAT>) of one size: the sure ones, and those still to be compared on the vectors."""
-    sc = vectors.sparkSession.sparkContext
-    n = vectors.count()
-    levels = max(0, math.ceil(math.log2(max(n, 1) / node_rows)))
-    spill_at = lambda level: spill if level >= levels - SPILL_LEVELS else 0.0
-    cuts: list[list[dict]] = [[] for _ in range(trees)]
-    level, known, more = 0, 0, n > node_rows
-    while more and known <= broadcast_nodes:  # a level has at most twice the nodes of the one before
-        sent = sc.broadcast(cuts)
-
-        def project(batches, sent=sent, level=level):
-            for batch in batches:
-                x = unit(batch.column(0))
-                for t in range(trees):
-                    row, node = _codes(x, t, sent.value[t], np.arange(len(x)), np.ones(len(x), np.int64))
-                    p = (x[row] @ direction(t, level, x.shape[1])).astype(float) if len(x) else np.zeros(0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(node), pa.array(p)], ["tree", "node", "p"])
-
-        rows = _splits(vectors.select("vec").mapInArrow(project, "tree int, node bigint, p double"), node_rows, spill_at(level)).collect()
-        for t in range(trees):
-            cuts[t].append({r["node"]: (r["a"], r["b"]) for r in rows if r["tree"] == t})
-        level, known, more = level + 1, known + len(rows), bool(rows)
-    sent = sc.broadcast(cuts)  # of at most three times broadcast_nodes entries
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.parent[at]
+        while not np.array_equal(up := self.parent[r], r):
+            r = up
+        self.parent[at] = r
+        return r
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that the forest doesn't join yet."""
+        open_ = self.roots(a) != self.roots(b)
+        return a[open_], b[open_]
+
+    def tile(self, a: slice, b: slice) -> None:
+        """Each of a with each of b; of one slice with itself, each two once."""
+        cos = self.x[a] @ self.x[b].T
+        ea, eb = float(self.error[a].max()), float(self.error[b].max())
+        band = ea + eb + ea * eb + 1e-6
+        i, j = np.divmod(np.flatnonzero(cos >= self.threshold - band), cos.shape[1])
+        if a == b:
+            i, j = i[i < j], j[i < j]
+        surely = cos[i, j] >= self.threshold + band
+        i, j = i + a.start, j + b.start
+        left, right = self.apart(i[surely], j[surely])
+        edge = np.flatnonzero(np.diff(left, prepend=-1, append=-1)) if len(left) else left
+        for s, e in zip(edge[:-1], edge[1:]):  # a row, and what it is close to
+            root, first = np.unique(self.roots(right[s:e]), return_index=True)
+            own = self.roots(left[s : s + 1])[0]
+            other = root != own
+            self.parent[root[other]] = own
+            if other.any():
+                self.sure.append(np.stack((np.full(other.sum(), left[s]), right[s:e][first[other]])))
+        self.unsure.append(np.stack(self.apart(i[~surely], j[~surely])))
+
+    def found(self) -> pd.DataFrame:
+        none = [np.zeros((2, 0), np.int64)]
+        sure, unsure = np.concatenate(none + self.sure, axis=1), np.concatenate(none + self.unsure, axis=1)
+        unsure = np.stack(self.apart(*unsure))  # as the whole forest joins them
+        e = self.ids[np.concatenate((sure, unsure), axis=1)]
+        return pd.DataFrame({"u": e.max(axis=0), "v": e.min(axis=0), "sure": np.arange(e.shape[1]) < sure.shape[1]})
+
+
+def compare_blocks(one: np.ndarray, two: np.ndarray | None, threshold: float, tile: int = TILE) -> pd.DataFrame:
+    """(u, v, sure) of the records of one block with those of another, or with each other."""
+    pairs = Pairs(one if two is None else np.concatenate((one, two)), threshold)
+    n = len(pairs.ids)
+    for s in range(0, len(one), tile):
+        for t in range(s if two is None else len(one), n, tile):
+            pairs.tile(slice(s, min(s + tile, len(one))), slice(t, min(t + tile, n)))
+    return pairs.found()
+
+
+def similar_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, blocks: int | None = None) -> DataFrame:
+    """Edges (u, v, sure) over (id BIGINT, vec ARRAY<FLOAT>) of one size: the sure ones, and those still to be compared on the vectors.
+
+    ``blocks`` is in how many parts the vectors are dealt, by default as many as their number and size ask for.
+    """
+    if blocks is None:
+        n, size = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+        blocks = max(1, min(BLOCKS, -(-n // BLOCK_ROWS)), -(-n * size // BLOCK_BYTES))
 
     def place(batches):
         for batch in batches:
-            x = unit(batch.column(1))
-            records = rounded(batch.column(0).to_numpy(zero_copy_only=False), x)
-            for t in range(trees):
-                row, node = _codes(x, t, sent.value[t], np.arange(len(x)), np.ones(len(x), np.int64))
-                yield _blobs(np.full(len(row), t, np.int32), node, records[row])
-
-    blobs = "tree int, node bigint, records binary, size int"
-    if more:
-        placed = _placed_by_joins(vectors, sent, trees, level, node_rows, spill_at).mapInArrow(_packed, blobs)
-    else:
-        placed = vectors.select("id", "vec").mapInArrow(place, blobs)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            records = rounded(ids, unit(batch.column(1)))
+            block = (mix64(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            for b in np.unique(block):
+                data = records[block == b].tobytes()
+                for k in range(0, blocks, 64):
+                    other = np.arange(k, min(k + 64, blocks))
+                    same = [np.full(len(other), v, t) for v, t in ((b, np.int64), (records["q"].shape[1], np.int32))]
+                    columns = [np.minimum(other, b), np.maximum(other, b), same[0], pa.array([data] * len(other), pa.binary()), same[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "block", "records", "size"])
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        records = np.frombuffer(b"".join(pdf["records"]), _record(int(pdf["size"].iloc[0])))
-        records = records[np.argsort(records["id"], kind="stable")]  # the same splits whatever the order of arrival
-        rng = np.random.Generator(np.random.PCG64([13, int(key[0]), int(key[1])]))
-        got = split_and_compare(Pairs(records["id"], restored(records), records["error"], threshold), rng, leaf, spill)
-        parts = [np.concatenate(e, axis=1) if e else np.zeros((2, 0), np.int64) for e in (got.sure, got.unsure)]
-        e = np.concatenate(parts, axis=1)
-        return pd.DataFrame({"u": e.max(axis=0), "v": e.min(axis=0), "sure": np.arange(e.shape[1]) < parts[0].shape[1]}).drop_duplicates()
-
-    return placed.groupBy("tree", "node").applyInPandas(compare, "u bigint, v bigint, sure boolean")
+        record = _record(int(pdf["size"].iloc[0]))
+        one, two = (np.frombuffer(b"".join(pdf["records"][pdf["block"] == k]), record) for k in key)
+        return compare_blocks(one, None if key[0] == key[1] else two, threshold)
 
-
-def _placed_by_joins(vectors: DataFrame, sent, trees: int, level: int, node_rows: int, spill_at) -> DataFrame:
-    """(tree, node, id, vec) once more levels are split than can be sent to tasks: each further level is a written table."""
-    def start(batches):
-        for batch in batches:
-            ids, vec = batch.column(0), batch.column(1)
-            x = unit(vec)
-            for t in range(trees):
-                row, node = _codes(x, t, sent.value[t], np.arange(len(x)), np.ones(len(x), np.int64))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(node), ids.take(at), vec.take(at)], ["tree", "node", "id", "vec"])
-
-    at = materialize(vectors.select("id", "vec").mapInArrow(start, "tree int, node bigint, id bigint, vec array<float>"), "nodes")
-    while True:
-        def project(batches, level=level):
-            for batch in batches:
-                x, tree = unit(batch.column(3)), batch.column(0).to_numpy(zero_copy_only=False)
-                p = np.zeros(len(x))
-                for t in np.unique(tree):
-                    p[tree == t] = x[tree == t] @ direction(int(t), level, x.shape[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["tree", "node", "id", "vec", "p"])
-
-        on = at.mapInArrow(project, "tree int, node bigint, id bigint, vec array<float>, p double")
-        cut = materialize(_splits(on.select("tree", "node", "p"), node_rows, spill_at(level)), "splits")
-        if cut.isEmpty():
-            return at
-        sides = F.array(F.when(F.col("a").isNull(), F.col("node")), F.when(F.col("p") <= F.col("b"), F.col("node") * 2), F.when(F.col("p") >= F.col("a"), F.col("node") * 2 + 1))
-        at = materialize(on.join(cut, ["tree", "node"], "left").select("tree", F.explode(F.array_compact(sides)).alias("node"), "id", "vec"), "nodes")
-        level += 1
-
-
-def _packed(batches):
-    for batch in batches:
-        tree, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        yield _blobs(tree, node, rounded(batch.column(2).to_numpy(zero_copy_only=False), unit(batch.column(3))))
+    placed = vectors.select("id", "vec").mapInArrow(place, "one bigint, two bigint, block bigint, records binary, size int")
+    return placed.groupBy("one", "two").applyInPandas(compare, "u bigint, v bigint, sure boolean")
 
 
 def verified(edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -294,22 +173,22 @@ def verified(edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return sure.union(open_.join(a, "u").join(b, "v").where(F.arrow_udf(reach, "boolean")("x", "y")).select("u", "v"))
 
 
-def _search(vectors: DataFrame, threshold: float, trees: int) -> DataFrame:
+def _search(vectors: DataFrame, threshold: float) -> DataFrame:
     """(u, v): links of copies to the one that is searched, and the found pairs of those."""
-    def direction_keys(vec: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(k) for k in _direction_keys(vec, threshold <= ROUNDED)], ["k", "l"])
+    def vector_keys(vec: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(k) for k in _vector_keys(vec)], ["k", "l"])
 
-    made = F.arrow_udf(direction_keys, "struct<k:bigint,l:bigint>")
-    keys = materialize(vectors.select("id", made("vec").alias("d")).select("id", "d.k", "d.l"), "directions")
+    made = F.arrow_udf(vector_keys, "struct<k:bigint,l:bigint>")
+    keys = materialize(vectors.select("id", made("vec").alias("d")).select("id", "d.k", "d.l"), "vector-keys")
     first = keys.groupBy("k", "l").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "l", "first")
     links = materialize(keys.join(first, ["k", "l"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "copies")
     few = links.count()
     if few:
         vectors = materialize(vectors.join(small(links.select(F.col("u").alias("id")), few), "id", "left_anti"), "searched")
-    return links.union(verified(similar_vectors(vectors, threshold=threshold, trees=trees), vectors, threshold))
+    return links.union(verified(similar_vectors(vectors, threshold=threshold), vectors, threshold))
 
 
-def embedding_groups(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+def embedding_groups(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, group_id, keep) for every row: the group's least id, and whether the row is the one that stays.
 
     Groups join vectors whose cosine reaches ``threshold``, over chains too. A
@@ -332,7 +211,7 @@ def embedding_groups(table: DataFrame, *, id_col: str = "vec_id", vector_col: st
     sizes = [r[0] for r in good.select(F.size("vec")).distinct().collect()]  # one row for each vector size
     edges = None
     for size in sorted(sizes):
-        part = _search(good.where(F.size("vec") == size), threshold, trees)
+        part = _search(good.where(F.size("vec") == size), threshold)
         edges = part if edges is None else edges.union(part)
     if edges is None:
         return rows.select(F.col("id").alias("vec_id"), F.col("id").alias("group_id"), F.lit(True).alias("keep"))
