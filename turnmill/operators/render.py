@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import pieces
 from ..functions.intervals import minus
 from ..functions.spans import covered, select_supervised, truncate
 from ..schema import KINDS
@@ -102,9 +103,9 @@ def _lists(parts: list, kind) -> tuple[np.ndarray, np.ndarray]:
 def tokenize(rendered: DataFrame, tokenizer, text_col: str = "text") -> DataFrame:
     """Adds ``input_ids``, ``offsets`` and ``token_length``; any object with ``encode(text) -> (ids, offsets)`` will do.
 
-    A batch is one call where the tokenizer has ``encode_batch(texts)``. A null text has no tokens.
+    A piece of a batch is one call where the tokenizer has ``encode_batch(texts)``. A null text has no tokens.
     """
-    def run(text: pa.Array) -> pa.Array:
+    def piece(text: pa.Array) -> pa.Array:
         texts = [t or "" for t in text.to_pylist()]
         pairs = tokenizer.encode_batch(texts) if hasattr(tokenizer, "encode_batch") else [tokenizer.encode(t) for t in texts]
         ids, edge = _lists([p[0] for p in pairs], np.int32)
@@ -112,6 +113,9 @@ def tokenize(rendered: DataFrame, tokenizer, text_col: str = "text") -> DataFram
         spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], ["start", "end"])
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, pa.array(ids)), pa.ListArray.from_arrays(edge, spans)], ["input_ids", "offsets"])
 
+    def run(text: pa.Array) -> pa.Array:
+        return pa.concat_arrays([piece(t) for t in pieces(text)])
+
     # nondeterministic: evaluated once, and not again by filters that see through the projection
     made = F.arrow_udf(run, "struct<input_ids:array<int>,offsets:array<struct<start:int,end:int>>>").asNondeterministic()
     out = rendered.withColumn("__t", made(F.col(text_col)))
@@ -129,7 +133,7 @@ def selected(spans: Iterable[dict], policy: dict[str, bool]) -> list[tuple[int,
 
 def labeller(policy: dict[str, bool]):
     """Labels of a batch: a token keeps its id if it lies wholly in one of its row's selected spans; one of no width is ignored."""
-    def run(ids: pa.Array, offsets: pa.Array, spans: pa.Array) -> pa.Array:
+    def piece(ids: pa.Array, offsets: pa.Array, spans: pa.Array) -> pa.Array:
         n = np.asarray(ids.value_lengths().fill_null(0))
         row = np.repeat(np.arange(len(n), dtype=np.int64), n)
         flat = ids.flatten().to_numpy(zero_copy_only=False)
@@ -142,6 +146,9 @@ def labeller(policy: dict[str, bool]):
             keep = (end > start) & (k >= 0) & ((row << 32 | end) <= b[np.maximum(k, 0)])
         return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(np.where(keep, flat, IGNORED).astype(np.int32)))
 
+    def run(ids: pa.Array, offsets: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.concat_arrays([piece(*b.columns) for b in pieces(pa.RecordBatch.from_arrays([ids, offsets, spans], ["ids", "offsets", "spans"]))])
+
     return run
 
 

@@ -11,11 +11,14 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from .batches import bound
+
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once an application, through the shared folder that spark.checkpoint.dir names."""
+    """Send the package's sources to the executors, once an application, through the shared folder that spark.checkpoint.dir names. Its batches get a limit of bytes."""
+    bound(spark)
     sc = spark.sparkContext
     if sc.applicationId in _sent:
         return
