@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import pieces
 from ..functions.jsonschema import infer_parameters, json_type, merge, merge_types, validate
 
 
@@ -64,36 +67,44 @@ def _types(samples: list) -> dict:
     return out
 
 
+def _known(tools: Iterable | None) -> dict:
+    return {t["name"]: t["parameters"] for t in (tools if tools is not None else [])}
+
+
+def _call_errors(n: str | None, a: str | None, known: dict) -> list[str]:
+    if not n:
+        return ["call without a name"]
+    if n not in known:
+        return [f"{n}: not declared"]
+    try:
+        value = json.loads(a) if a else {}
+    except ValueError:
+        value = None
+    if not isinstance(value, dict):
+        return [f"{n}: arguments are not a JSON object"]
+    return validate(value, json.loads(known[n] or "{}"), f"{n}.arguments")
+
+
 def argument_errors(name: pd.Series, arguments: pd.Series, tools: pd.Series) -> pd.Series:
     """Errors of each call against ARRAY<STRUCT<name, parameters>>; names and JSON are checked before the schema."""
+    return pd.Series([_call_errors(n, a, _known(ts)) for n, a, ts in zip(name, arguments, tools)])
+
+
+def _row_errors(calls: pa.Array, tools: pa.Array) -> pa.Array:
     out = []
-    for n, a, ts in zip(name, arguments, tools):
-        known = {t["name"]: t["parameters"] for t in (ts if ts is not None else [])}
-        if not n:
-            out.append(["call without a name"])
-        elif n not in known:
-            out.append([f"{n}: not declared"])
-        else:
-            try:
-                value = json.loads(a) if a else {}
-            except ValueError:
-                value = None
-            if not isinstance(value, dict):
-                out.append([f"{n}: arguments are not a JSON object"])
-            else:
-                out.append(validate(value, json.loads(known[n] or "{}"), f"{n}.arguments"))
-    return pd.Series(out)
+    for b in pieces(pa.RecordBatch.from_arrays([calls, tools], ["calls", "tools"])):
+        for cs, ts in zip(*[c.to_pylist() for c in b.columns]):
+            known = _known(ts)
+            out.append([e for c in cs or [] if c is not None for e in _call_errors(c["name"], c["arguments"], known)])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def validate_tool_calls(rows: DataFrame) -> DataFrame:
-    """(all columns, errors) of training rows with ``messages`` and ``tools``."""
+    """(all columns, errors) of training rows with ``messages`` and ``tools``; errors in the order of the calls. No shuffle: a row's calls are checked where it is."""
     calls = F.flatten(F.transform("messages", lambda m: F.coalesce(m["tool_calls"], F.array().cast("array<struct<id:string,type:string,name:string,arguments:string>>"))))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", F.explode_outer(calls))
-    tools = F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["parameters"].alias("parameters")))
-    checked = keyed.withColumn("__e", F.when(F.col("__c").isNotNull(), F.pandas_udf(argument_errors, "array<string>")(F.col("__c.name"), F.col("__c.arguments"), tools)))
-    cols = [c for c in rows.columns]
-    out = checked.groupBy("__row").agg(*[F.first(c).alias(c) for c in cols], F.flatten(F.collect_list("__e")).alias("errors"))
-    return out.drop("__row")
+    known = F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["parameters"].alias("parameters")))
+    made = F.arrow_udf(_row_errors, "array<string>").asNondeterministic()  # evaluated once
+    return rows.withColumn("errors", made(calls, known))
 
 
 def apply_unsupported_tool_policy(rows: DataFrame) -> DataFrame:
