@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import batched, pieces
 from ..functions import templates as T
 from ..functions.jsonschema import validate
 from ..functions.traces import normal_message, template_messages
@@ -175,15 +176,15 @@ def prepare(rows: DataFrame, settings: Settings | None = None, preserve: Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Preparer(s)
-        for batch in batches:
+        for piece in (piece for batch in batches for piece in pieces(batch)):
             out = []
-            for r in batch.to_pylist():
+            for r in piece.to_pylist():
                 tools = [json.loads(t["raw"]) for t in r["tools"] or [] if t["raw"]]
                 got = dict.fromkeys(_NAMES) | p.row(template_messages(r["messages"] or []), tools)
                 meta = json.loads(r["metadata"]) if r.get("metadata") else {}
                 got |= {"raw_index": r["raw_index"], "row_id": row_label(meta, r.get("row_id")), "source": meta.get("source") or r.get("source"), "source_key": s.source_key or meta.get("source_key")}
                 out.append(got | {c: r[c] for c in kept})
-            yield pa.RecordBatch.from_arrays([_column(n, [o[n] for o in out], batch) for n in names], names)
+            yield pa.RecordBatch.from_arrays([_column(n, [o[n] for o in out], piece) for n in names], names)
 
     return rows.select(*need).mapInArrow(run, OUTCOME + (", " + kinds if kinds else ""))
 
@@ -275,13 +276,12 @@ def row_labels(prepared_text: str, spans: list[dict], ids: list[int], offsets: l
 
 def align_labels(rows: DataFrame, ids: str = "input_ids", full_ids: str = "full_ids", full_labels: str = "labels", to: str = "aligned") -> DataFrame:
     """Labels of a trainer's own ids; null where they are not those of the text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[to] = [None if a is None or b is None or c is None else T.align(list(a), list(b), list(c)) for a, b, c in zip(pdf[ids], pdf[full_ids], pdf[full_labels])]
-            yield pdf
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        given = zip(*[b.column(c).to_pylist() for c in (ids, full_ids, full_labels)])
+        made = [None if x is None or y is None or z is None else T.align(x, y, z) for x, y, z in given]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int32()))], [*b.schema.names, to])
 
-    return rows.mapInPandas(run, f"{_ddl(rows)}, {to} array<int>")
+    return rows.mapInArrow(batched(run), f"{_ddl(rows)}, {to} array<int>")
 
 
 def _ddl(df: DataFrame) -> str:
