@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import frames
 from ..functions.scrub import Scrubber
 from ..functions.values import compact
 
@@ -82,7 +83,7 @@ def anonymize_sessions(files: DataFrame) -> DataFrame:
     their bytes. A null text stays null.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frames(batches):
             rows = []
             for name, text in zip(pdf["source_file"], pdf["text"]):
                 s, out, changed = Scrubber(), [], 0

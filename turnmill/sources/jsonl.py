@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import frames
 from ..functions import values as V
 from ..functions.traces import convert_file, convert_single, is_structured, stored_row, structured_row
 from ..schema import TRAIN_ROW
@@ -62,7 +63,7 @@ def convert_traces(spark: SparkSession, path: str, *, skip_invalid_lines: bool =
     A file is read whole by one task. Sidecars meet their trace by file stem; one that is no JSON object counts as absent.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frames(batches):
             rows = []
             for name, text, side in zip(pdf["source_file"], pdf["text"], pdf["side"]):
                 for n, row in convert_file(parse(text, skip_invalid_lines, name), _stem(name), _object(side)):
@@ -85,7 +86,7 @@ def _object(text: str | None) -> dict:
 def convert_texts(files: DataFrame, *, skip_invalid_lines: bool = False) -> DataFrame:
     """The same for a table (source_file, text) that holds the files' texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frames(batches):
             rows = [
                 stored_row(row) | {"source_file": name, "source_line": n}
                 for name, text in zip(pdf["source_file"], pdf["text"]) for n, row in convert_file(parse(text, skip_invalid_lines, name), _stem(name))
@@ -98,7 +99,7 @@ def convert_texts(files: DataFrame, *, skip_invalid_lines: bool = False) -> Data
 def convert_rows(spark: SparkSession, path: str, *, skip_invalid_lines: bool = False) -> DataFrame:
     """The same for files that hold training rows only, split by line, so that one large file is many tasks' work. ``source_line`` is null, as a line's number isn't known."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in frames(batches):
             rows = []
             for name, line in zip(pdf["source_file"], pdf["value"]):
                 for e in parse(line, skip_invalid_lines, name):
