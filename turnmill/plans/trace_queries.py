@@ -429,10 +429,10 @@ def chat_usage(spark, sf_dir):
            (len(regexp_extract_all(text, 'password=[0-9a-f]{6,}')) + len(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')))::INTEGER AS api_keys FROM documents
 """)
 def scrub_sessions(spark, sf_dir):
-    """Every document as a user's message in a session of its own, scrubbed as nested JSON."""
-    line = _json(role=F.lit("user"), content=F.coalesce("text", F.lit("")))
+    """Every document as a user's message in a session of its own, scrubbed as nested JSON; a null text has no session and no counts."""
+    line = F.when(F.col("text").isNotNull(), _json(role=F.lit("user"), content=_text()))
     s = anon.anonymize_sessions(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), line.alias("text")))
-    return s.select(F.col("source_file").cast("bigint").alias("doc_id"), "emails", "api_keys")
+    return s.select(F.col("source_file").cast("bigint").alias("doc_id"), *[F.when(F.col("text").isNotNull(), F.col(c)).alias(c) for c in ("emails", "api_keys")])
 
 
 @_query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN (epoch_us(ts) // 1000) % 1000 = 0 THEN '' ELSE '.' || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || '000' END || 'Z' AS at FROM events")
